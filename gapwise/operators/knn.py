@@ -140,13 +140,13 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
         F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
 
 
-def _fan_out(rows: DataFrame, chunks, parts, of_gaps: bool) -> DataFrame:
+def _fan_out(rows: DataFrame, of_gaps: bool) -> DataFrame:
     """Give every row its own chunk and copies for each chunk of the other side."""
     own, other = ("part", "chunk") if of_gaps else ("chunk", "part")
-    own_count, other_count = (parts, chunks) if of_gaps else (chunks, parts)
-    mine = F.pmod(F.xxhash64("gap" if of_gaps else "donor"), own_count).cast("int")
+    mine = F.pmod(F.xxhash64("gap" if of_gaps else "donor"), F.col(f"{own}s")).cast("int")
     return (rows.withColumn(own, mine)
-            .withColumn(other, F.explode(F.sequence(F.lit(0), (other_count - 1).cast("int")))))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+            .drop("chunks", "parts"))
 
 
 def impute_knn_column(df: DataFrame, key: str, features: Sequence[str], target: str,
@@ -180,17 +180,19 @@ def impute_knn_column(df: DataFrame, key: str, features: Sequence[str], target:
     donor_cells = {r[0]: r[1] for r in donors.groupBy("cell").count().collect()}
     grid.cells = {tuple(int(s) for s in c.split(",") if s): n for c, n in donor_cells.items()}
     chunk_of = {c: math.ceil(n / CHUNK_DONORS) for c, n in donor_cells.items()}
-    chunk_rows = spark.createDataFrame(
-        [(c, n) for c, n in chunk_of.items()] or [("none", 1)], "cell string, chunks int")
 
     def visit(pending: DataFrame) -> DataFrame:
         """Compare (gap, cell) visits; counts per cell size the chunks on both sides."""
-        sizes = pending.groupBy("cell").count().select(
-            "cell", F.ceil(F.col("count") / CHUNK_GAPS).cast("int").alias("parts"))
-        # at most one row per grid cell, i.e. no more than MAX_CELLS small rows
-        plan = F.broadcast(chunk_rows.join(sizes, "cell"))
-        left = _fan_out(pending.join(plan, "cell"), F.col("chunks"), F.col("parts"), True)
-        right = _fan_out(donors.join(plan, "cell"), F.col("chunks"), F.col("parts"), False)
+        waiting = {r[0]: r[1] for r in pending.groupBy("cell").count().collect()}
+        sizes = [(c, chunk_of[c], math.ceil(n / CHUNK_GAPS)) for c, n in waiting.items()
+                 if c in chunk_of]
+
+        def plan() -> DataFrame:
+            # one small row per grid cell, so MAX_CELLS bounds what is broadcast
+            return F.broadcast(spark.createDataFrame(sizes, "cell string, chunks int, parts int"))
+
+        left = _fan_out(pending.join(plan(), "cell"), of_gaps=True)
+        right = _fan_out(donors.join(plan(), "cell"), of_gaps=False)
         return _search(left, right, names, k, d, key_type)
 
     first = visit(gaps.withColumn("cell", F.col("home")))
