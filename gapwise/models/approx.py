@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.functions.linear import any_null, number, quoted, score_text
-from gapwise.models.descent import descend_many
+from gapwise.models.descent import settle
 from gapwise.models.linear_model import LinearModel
 from gapwise.models.moments import Moments, moments, moments_by
+from gapwise.models.newton import fit_many
 from gapwise.operators.impute import adversarial_text, extreme_versions
 from gapwise.operators.metrics import accuracy, mean_absolute_error
 
@@ -141,7 +142,7 @@ def hinge_version_losses(df: DataFrame, key: str, features: Sequence[str], label
 
 def approx_svm(df: DataFrame, key: str, features: Sequence[str], label: str, bounds: Bounds,
                versions: int = 100, seed=0, alpha: float = 1.0, steps: int = 60,
-               rate: float = 0.5, fit_steps: int = 60,
+               rate: float = 0.5,
                threshold: float | None = None) -> DataFrame:
     """min over w of max over versions of (objective_v(w) - best_v).
 
@@ -157,8 +158,8 @@ def approx_svm(df: DataFrame, key: str, features: Sequence[str], label: str, bou
     everything = (df.filter(~gap).select(*columns)
                   .withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(versions - 1))))
                   .unionByName(repaired))
-    models = descend_many(everything, "version", versions, features, label, "hinge", fit_steps,
-                          rate, alpha / n, intercept=False)
+    models = fit_many(everything, "version", versions, features, label, alpha / n,
+                      intercept=False)
     table = (df.filter(~gap).select(F.lit(None).cast("int").alias("version"), *columns)
              .unionByName(repaired)).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -215,7 +216,7 @@ def worst_case_descent(df: DataFrame, features: Sequence[str], label: str, bound
     materialised.
     """
     d = len(features)
-    rows = df.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = rows = df.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
     w, used, loss = np.zeros(d), 0, None
     try:
         for used in range(steps + 1):
@@ -228,11 +229,12 @@ def worst_case_descent(df: DataFrame, features: Sequence[str], label: str, bound
                                 *[f"sum(r_ * x{i})" for i in range(d)]).collect()[0])
             loss = sums[1] / sums[0]
             grad = 2.0 / sums[0] * np.array(sums[2:], float)
+            rows = settle(kept, sums[0])
             if used == steps or np.linalg.norm(grad) <= tolerance:
                 break
             w = w - rate * grad
     finally:
-        rows.unpersist()
+        kept.unpersist()
     return LinearModel(tuple(features), tuple(float(v) for v in w), 0.0, {"steps": used}), loss
 
 

@@ -19,6 +19,8 @@ from gapwise.functions.linear import number, quoted, score_text
 from gapwise.models.linear_model import LinearModel
 from gapwise.models.moments import NARROW, _block
 
+ONE_TASK_ROWS = 100_000
+
 # derivative of the loss with respect to the score f for a row with label y
 SLOPES = {
     "hinge": "CASE WHEN {y} * {f} < 1D THEN -{y} ELSE 0D END",
@@ -68,6 +70,11 @@ def _wide_slope_sums(df, features, label, weights, intercept, loss):
     return by[width]["n"], [by[j]["v"] for j in range(width)], by[width]["v"]
 
 
+def settle(rows: DataFrame, n: int) -> DataFrame:
+    """A view on few rows that needs no exchange to aggregate; large tables stay as they are."""
+    return rows.coalesce(1) if n <= ONE_TASK_ROWS else rows
+
+
 def held(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """The columns a learner reads, kept in memory (disk below) for its passes."""
     return df.selectExpr(*[f"cast({quoted(f)} AS double) AS {quoted(f)}" for f in features],
@@ -79,7 +86,7 @@ def descend(df: DataFrame, features: Sequence[str], label: str, loss: str, steps
             rate: float, l2: float = 0.0, intercept: bool = True,
             start: LinearModel | None = None, tolerance: float | None = None) -> LinearModel:
     """Full-batch (sub)gradient steps on mean loss + l2/2 |w|^2, intercept unpenalised."""
-    rows = held(df, features, label)
+    kept = rows = held(df, features, label)
     w = np.array(start.weights if start else [0.0] * len(features), float)
     b = start.intercept if start else 0.0
     used, n = 0, 0
@@ -88,46 +95,13 @@ def descend(df: DataFrame, features: Sequence[str], label: str, loss: str, steps
             n, grad, total = slope_sums(rows, features, label, w, b, loss)
             if not n:
                 break
+            rows = settle(kept, n)
             g = l2 * w + np.array(grad) / n
             gb = total / n if intercept else 0.0
             w, b = w - rate * g, b - rate * gb
             if tolerance is not None and np.sqrt(g @ g + gb * gb) <= tolerance:
                 break
     finally:
-        rows.unpersist()
+        kept.unpersist()
     return LinearModel(tuple(features), tuple(float(v) for v in w), float(b),
                        {"steps": used, "n": n})
-
-
-def descend_many(df: DataFrame, model: str, models: int, features: Sequence[str], label: str,
-                 loss: str, steps: int, rate: float, l2: float = 0.0,
-                 intercept: bool = True) -> list[LinearModel]:
-    """Fit ``models`` independent learners at once.
-
-    ``df`` carries the model number of each row; one grouped aggregate per step
-    serves all learners, shuffling models x (d + 1) numbers per task.
-    """
-    rows = df.selectExpr(quoted(model), *[quoted(f) for f in features],
-                         quoted(label)).persist(StorageLevel.MEMORY_AND_DISK)
-    w, b = np.zeros((models, len(features))), np.zeros(models)
-    try:
-        for _ in range(steps):
-            columns = [f"array({', '.join(number(v) for v in w[:, j])})[{quoted(model)}]"
-                       for j in range(len(features))]
-            score = " + ".join([f"{quoted(f)} * {c}" for f, c in zip(features, columns)]
-                               + [f"array({', '.join(number(v) for v in b)})[{quoted(model)}]"])
-            slope = SLOPES[loss].format(y=quoted(label), f=f"({score})")
-            sums = (rows.selectExpr(quoted(model), *[quoted(f) for f in features],
-                                    f"{slope} AS slope_")
-                    .groupBy(model).agg(F.count("*"), F.expr("sum(slope_)"),
-                                        *[F.expr(f"sum(slope_ * {quoted(f)})")
-                                          for f in features]).collect())
-            for r in sums:
-                i, n = r[0], r[1]
-                w[i] -= rate * (l2 * w[i] + np.array(r[3:], float) / n)
-                if intercept:
-                    b[i] -= rate * r[2] / n
-    finally:
-        rows.unpersist()
-    return [LinearModel(tuple(features), tuple(float(v) for v in w[i]), float(b[i]))
-            for i in range(models)]

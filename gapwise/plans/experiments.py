@@ -13,7 +13,7 @@ from gapwise.functions.linear import any_null, quoted
 from gapwise.models.active_clean import active_clean_runs, average_runs, prepare
 from gapwise.models.certain import (WEIGHT_TOLERANCE, certain_score_regression,
                                     certain_score_svm, check_linear)
-from gapwise.models.descent import descend_many
+from gapwise.models.newton import fit_many
 from gapwise.models.ols import fit_ols
 from gapwise.models.svm import fit_svm
 from gapwise.operators import impute, knn, metrics
@@ -32,7 +32,7 @@ def candidate_seed(run, attempt: int) -> int:
 
 
 def check_corruptions(df: DataFrame, key: str, features: Sequence[str], label: str, rate: float,
-                      seeds: Sequence[int], steps: int, step_rate: float, l2: float,
+                      seeds: Sequence[int], l2: float,
                       wtol: float = WEIGHT_TOLERANCE) -> list[dict]:
     """Corrupt the table with each seed and check the linear SVM, all seeds together.
 
@@ -46,8 +46,7 @@ def check_corruptions(df: DataFrame, key: str, features: Sequence[str], label: s
     kept = F.explode(F.filter(
         F.array(*[F.when(~h, F.lit(i)) for i, h in enumerate(hit)]), lambda m: m.isNotNull()))
     training = df.select(kept.alias("model_"), *features, label)
-    models = descend_many(training, "model_", len(seeds), features, label, "hinge", steps,
-                          step_rate, l2)
+    models = fit_many(training, "model_", len(seeds), features, label, l2)
     margins = []
     for i, (model, column) in enumerate(zip(models, columns)):
         weights = [0.0 if f == column else w for f, w in zip(features, model.weights)]
@@ -65,8 +64,7 @@ def check_corruptions(df: DataFrame, key: str, features: Sequence[str], label: s
 
 def search_seed(df: DataFrame, key: str, features: Sequence[str], label: str, rate: float,
                 run, want_certain: bool = True, test: DataFrame | None = None,
-                max_attempts: int = MAX_ATTEMPTS, chunk: int = 8, steps: int = 60,
-                step_rate: float = 0.5, l2: float = 1e-4) -> DataFrame:
+                max_attempts: int = MAX_ATTEMPTS, chunk: int = 8, l2: float = 1e-4) -> DataFrame:
     """First corruption seed with (or without) a certain model.
 
     One row: found, seed, n_failures, n_checked, accuracy on the complete test
@@ -78,8 +76,7 @@ def search_seed(df: DataFrame, key: str, features: Sequence[str], label: str, ra
         while attempt < max_attempts and hit is None:
             size = min(chunk, max_attempts - attempt)
             seeds = [candidate_seed(run, attempt + j) for j in range(size)]
-            results = check_corruptions(rows, key, features, label, rate, seeds, steps,
-                                        step_rate, l2)
+            results = check_corruptions(rows, key, features, label, rate, seeds, l2)
             for j, result in enumerate(results):
                 if result["is_certain"] == want_certain:
                     hit, attempt = result, attempt + j
@@ -143,20 +140,20 @@ def compare_regression(train: DataFrame, test: DataFrame, key: str, features: Se
 
 def compare_classification(train: DataFrame, test: DataFrame, key: str, features: Sequence[str],
                            label: str, seed=0, runs: int = 5, total: int = 1000,
-                           steps: int = 60, l2: float = 1e-4,
+                           l2: float = 1e-4,
                            methods: Sequence[str] = ("certain", "knn", "mean", "delete",
                                                      "active_clean")) -> DataFrame:
     """(method, score): accuracy of a linear SVM on complete test rows."""
     complete_test = test.na.drop("any", subset=list(features))
 
     def score_of(fitted_on: DataFrame) -> float:
-        model = fit_svm(fitted_on, features, label, l2=l2, steps=steps)
+        model = fit_svm(fitted_on, features, label, l2=l2)
         guess = F.when(model.score() > 0, 1.0).otherwise(-1.0)
         return complete_test.agg(metrics.accuracy(guess, label)).collect()[0][0]
 
     return _compare(train, test, key, features, label, seed, runs, total, methods,
                     "classification", score_of,
-                    lambda: certain_score_svm(train, test, features, label, l2=l2, steps=steps))
+                    lambda: certain_score_svm(train, test, features, label, l2=l2))
 
 
 def _compare(train, test, key, features, label, seed, runs, total, methods, task,

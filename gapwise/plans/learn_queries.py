@@ -226,14 +226,15 @@ _COMPLETE = "SELECT x0, x1, x2, y FROM gs WHERE x0 IS NOT NULL"
 @query("svm_fit", descent_sql(fx.SVM, _COMPLETE, HINGE, 100, 0.5, "0.0001::DOUBLE"))
 def svm_fit(spark, folder):
     complete = filters.drop_incomplete(fx.svm_gaps(spark, folder))
-    return _weight_rows(spark, fit_svm(complete, fx.SVM_FEATURES, "y"))
+    return _weight_rows(spark, fit_svm(complete, fx.SVM_FEATURES, "y", solver="steps"))
 
 
 @query("svm_fit_c", descent_sql(fx.SVM, _COMPLETE, HINGE, 60, 0.5,
                                 "(1.0::DOUBLE / (SELECT count(*) FROM t))"))
 def svm_fit_c(spark, folder):
     complete = filters.drop_incomplete(fx.svm_gaps(spark, folder))
-    return _weight_rows(spark, fit_c_svm(complete, fx.SVM_FEATURES, "y", steps=60))
+    return _weight_rows(spark, fit_c_svm(complete, fx.SVM_FEATURES, "y", steps=60,
+                                          solver="steps"))
 
 
 @query("svm_fit_mllib")
@@ -244,6 +245,13 @@ def svm_fit_mllib(spark, folder):
                         digits=2)
 
 
+@query("svm_fit_newton")
+def svm_fit_newton(spark, folder):
+    """The same objective by Newton steps, the default for narrow tables."""
+    complete = filters.drop_incomplete(fx.svm_gaps(spark, folder))
+    return _weight_rows(spark, fit_svm(complete, fx.SVM_FEATURES, "y"), digits=2)
+
+
 @query("log_fit", descent_sql(fx.SVM, _COMPLETE, LOGISTIC, 40, 0.5, "0.000001::DOUBLE"))
 def log_fit(spark, folder):
     complete = filters.drop_incomplete(fx.svm_gaps(spark, folder))
@@ -301,7 +309,7 @@ def poly_features(spark, folder):
 @query("svm_poly_fit")
 def svm_poly_fit(spark, folder):
     complete = filters.drop_incomplete(fx.svm_gaps(spark, folder))
-    model, _ = fit_cubic_svm(complete, fx.SVM_FEATURES, "y", l2=1e-4, steps=40)
+    model, _ = fit_cubic_svm(complete, fx.SVM_FEATURES, "y", l2=1e-4)
     return _weight_rows(spark, model)
 
 

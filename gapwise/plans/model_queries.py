@@ -126,31 +126,32 @@ def _rounded_svm(result):
 
 @query("cm_svm", _svm_sql(fx.SVM, "x0"))
 def cm_svm(spark, folder):
-    return _rounded_svm(certain.check_svm(fx.svm_gaps(spark, folder), fx.SVM_FEATURES, "y"))
+    return _rounded_svm(certain.check_svm(fx.svm_gaps(spark, folder), fx.SVM_FEATURES, "y",
+                                          solver="steps"))
 
 
 @query("cm_svm_neg", _svm_sql(fx.SVM_X1, "x1"))
 def cm_svm_neg(spark, folder):
     return _rounded_svm(certain.check_svm(fx.svm_gaps(spark, folder, "x1"),
-                                          fx.SVM_FEATURES, "y"))
+                                          fx.SVM_FEATURES, "y", solver="steps"))
 
 
 @query("cm_svm_clipped", _svm_sql(fx.SVM, "x0", clipped=True, steps=40))
 def cm_svm_clipped(spark, folder):
     return _rounded_svm(certain.check_svm_clipped(fx.svm_gaps(spark, folder), fx.SVM_FEATURES,
-                                                  "y", steps=40))
+                                                  "y", steps=40, solver="steps"))
 
 
 @query("cm_svm_score")
 def cm_svm_score(spark, folder):
-    df = sample.hash_split_flag(fx.svm_gaps(spark, folder), "row_id", 9)
+    df = sample.hash_split_flag(_kernel_rows(spark, folder), "row_id", 9)
     return certain.certain_score_svm(df.filter("NOT is_test"), df.filter("is_test"),
-                                     fx.SVM_FEATURES, "y", steps=60)
+                                     fx.SVM_FEATURES, "y")
 
 
-def _kernel_rows(spark, folder):
+def _kernel_rows(spark, folder, low=0.25):
     """The mirrored table with x0 = 0 throughout and gaps in x0."""
-    return fx.svm_gaps(spark, folder).withColumn("x0", F.when(F.col("x0").isNotNull(), 0.0))
+    return fx.svm_gaps(spark, folder, low=low).withColumn("x0", F.when(F.col("x0").isNotNull(), 0.0))
 
 
 _CUBIC = [0.4 * driver_uniform("cubic", i) for i in range(len(cubic_terms(fx.SVM_FEATURES, 1.0)))]
@@ -186,8 +187,8 @@ def cm_poly_check(spark, folder):
 
 @query("cm_poly_svm")
 def cm_poly_svm(spark, folder):
-    return certain.check_cubic_svm(_kernel_rows(spark, folder), fx.SVM_FEATURES, "y", l2=1e-4,
-                                   steps=80)
+    return certain.check_cubic_svm(_kernel_rows(spark, folder, 0.5), fx.SVM_FEATURES, "y",
+                                   l2=1e-4)
 
 
 # ---------------------------------------------- approximately certain models
@@ -257,7 +258,7 @@ def acm_svm(spark, folder):
     df = fx.svm_gaps(spark, folder)
     bounds = repair_bounds(df, ["x0"])
     return approx.approx_svm(df, "row_id", fx.SVM_FEATURES, "y", bounds, _VERSIONS, "acm",
-                             steps=30, fit_steps=30)
+                             steps=30)
 
 
 _GD_STEPS = 30
@@ -331,9 +332,9 @@ def _prepared(spark, folder):
 
 
 @query("ac_prepare", f"WITH {_AC_SQL} SELECT o_orderkey, total, urgency, month, "
-                     "round(y, 6) AS y, is_dirty FROM ap")
+                     "y, is_dirty FROM ap")
 def ac_prepare(spark, folder):
-    return _prepared(spark, folder).withColumn("y", F.round("y", 6))
+    return _prepared(spark, folder)
 
 
 @query("ac_init_batch", f"WITH {_AC_SQL}, {_AC_BATCH} SELECT is_dirty, count(*) AS n_rows FROM ap "
@@ -394,14 +395,14 @@ def _svm_split(spark, folder):
 def exp_seed_exists(spark, folder):
     train, test = _svm_split(spark, folder)
     return experiments.search_seed(train, "row_id", fx.SVM_FEATURES, "y", 0.01, "exists",
-                                   True, test, chunk=4, steps=40)
+                                   True, test)
 
 
 @query("exp_seed_not_exists")
 def exp_seed_not_exists(spark, folder):
     train, test = _svm_split(spark, folder)
     return experiments.search_seed(train, "row_id", fx.SVM_FEATURES, "y", 0.01, "exists",
-                                   False, test, chunk=4, steps=40)
+                                   False, test)
 
 
 def _sweep_sql() -> str:
@@ -439,6 +440,6 @@ def exp_compare_classification(spark, folder):
     df = fx.svm_gaps(spark, folder)
     train, test = sample.train_test_split(df, "row_id", 42)
     return experiments.compare_classification(train, test, "row_id", fx.SVM_FEATURES, "y",
-                                              runs=2, total=200, steps=40)
+                                              runs=2, total=200)
 
 

@@ -79,7 +79,7 @@ def svm_table(ids: DataFrame, key: str, n_features: int, missing_rate: float, se
 
 
 def kernel_table(ids: DataFrame, key: str, n_features: int, n_extra: int, seed,
-                 steps: int = 100, low: float = 0.0) -> DataFrame:
+                 low: float = 0.0) -> DataFrame:
     """x0 = 0 everywhere; plus ``n_extra`` rows outside the margin of a cubic-kernel SVM.
 
     Candidates are further hashed rows per key; ``n_extra`` of those with |f| > 1
@@ -91,7 +91,7 @@ def kernel_table(ids: DataFrame, key: str, n_features: int, n_extra: int, seed,
         (F.lit(low) + F.lit(1.0 - low) * uniform(f"{seed}/base", key, F.lit(n))).alias(n)
         for n in names[1:]])
     base = mirrored(half, key, names, kept=["x0"]).drop(key)
-    model, gamma = fit_cubic_svm(base, names, "y", steps=steps)
+    model, gamma = fit_cubic_svm(base, names, "y")
     score = cubic_score(model, names, gamma)
     draws = 1
     while True:  # more candidates per key until enough fall outside the margin
