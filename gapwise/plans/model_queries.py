@@ -255,8 +255,9 @@ def acm_svm_losses(spark, folder):
 
 @query("acm_svm")
 def acm_svm(spark, folder):
-    df = fx.svm_gaps(spark, folder)
-    bounds = repair_bounds(df, ["x0"])
+    """Gaps in the informative x1, so no single model is optimal for all repairs."""
+    df = fx.svm_gaps(spark, folder, "x1")
+    bounds = repair_bounds(df, ["x1"])
     return approx.approx_svm(df, "row_id", fx.SVM_FEATURES, "y", bounds, _VERSIONS, "acm",
                              steps=30)
 
