@@ -207,9 +207,9 @@ def active_clean(prepared: DataFrame, key: str, features: Sequence[str], label:
     training.fit_model(model, first_steps)
     pool = pool.filter(~F.col(key).isin(keys))
 
-    cleaned = 0
+    cleaned, left = 0, pool.count()
     for step, _ in enumerate(range(batch, total, batch), start=1):
-        drawn = sample_with_replacement(pool, key, f"{seed}/{step}", batch)
+        drawn = sample_with_replacement(pool, key, f"{seed}/{step}", batch, left)
         keys, dirty = labelled.add(drawn)
         if training.small:
             _copy_last(labelled, training, len(keys))
@@ -223,8 +223,8 @@ def active_clean(prepared: DataFrame, key: str, features: Sequence[str], label:
         training.fit_model(model, model_steps)
         if step % CUT_EVERY == 0:
             pool = cut_lineage(pool)
-        # an existence probe: stops after enough rows instead of counting the pool
-        if pool.limit(stop_below).count() < stop_below:
+        left = pool.count()
+        if left < stop_below:
             break
     return cleaned, training.score(model, task)
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gapwise.functions.hashing import driver_digest, driver_uniform, hash_rank, uniform
 from gapwise.operators.rows import dense_ids
@@ -39,26 +40,27 @@ def sample_rows(df: DataFrame, key: str, seed, k: int) -> DataFrame:
     return df.filter(hash_cutoff(df, key, seed, lambda n: k).covers())
 
 
-def sample_with_replacement(df: DataFrame, key: str, seed, k: int) -> DataFrame:
+def sample_with_replacement(df: DataFrame, key: str, seed, k: int,
+                            n: int | None = None) -> DataFrame:
     """k uniform draws with replacement; column ``n_draws`` is the multiplicity.
 
     The draws are positions in a random permutation of the rows.  Only how many
     draws fall on the same position matters, because any set of distinct
     positions of a random permutation is a uniform random set of rows: the i-th
-    smallest drawn position is served by the i-th row in hash order.
+    smallest drawn position is served by the i-th row in hash order.  Pass the
+    row count ``n`` if it is known.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     if n == 0:
         return df.withColumn("n_draws", F.lit(0).cast("bigint"))
     if k <= TOP_ROWS:
         hits = Counter(int(driver_uniform(seed, "draw", j) * n) for j in range(k))
         times = [hits[p] for p in sorted(hits)]
-        top = df.orderBy(hash_rank(seed, key), F.col(key)).limit(len(times))
-        keys = [r[0] for r in top.select(key).collect()]
-        drawn = df.sparkSession.createDataFrame(
-            list(zip(keys, times)), f"{key} {dict(df.dtypes)[key]}, n_draws bigint")
-        # at most TOP_ROWS keys, so the hint is bounded by the batch size
-        return df.join(F.broadcast(drawn), key)
+        # one top-k job; the batch itself, at most TOP_ROWS rows, is the result
+        rows = df.orderBy(hash_rank(seed, key), F.col(key)).limit(len(times)).collect()
+        schema = T.StructType([*df.schema.fields, T.StructField("n_draws", T.LongType())])
+        return df.sparkSession.createDataFrame(
+            [(*r, c) for r, c in zip(rows, times)], schema)
     spark = df.sparkSession
     position = F.floor(uniform(seed, F.lit("draw"), F.col("id")) * F.lit(n))
     draws = (spark.range(k).groupBy(position.alias("position"))

@@ -9,10 +9,11 @@ a literal.  No shuffle of rows, no join, and k may be any share of the table.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.functions.hashing import RANK_BITS, hash_rank
@@ -44,32 +45,54 @@ class Cutoff:
 
 def hash_cutoff(df: DataFrame, key: str, seed, take: Callable[[int], int]) -> Cutoff:
     """Find the boundary of the ``take(n)`` rows that come first in hash order."""
-    keyed = df.select(hash_rank(seed, key).alias("rank"), F.col(key).alias("key"))
-    shift, before, scope = RANK_BITS - LEVEL_BITS, 0, keyed
-    total = wanted = None
-    while True:
-        bucket = F.shiftright("rank", shift)
-        counts = sorted(tuple(r) for r in scope.groupBy(bucket.alias("b")).count().collect())
+    return hash_cutoffs(df, key, [seed], take)[0]
+
+
+def hash_cutoffs(df: DataFrame, key: str, seeds: Sequence, take: Callable[[int], int]):
+    """Boundaries for several seeds; each level is one grouped count for all of them."""
+    ranks = [F.struct(F.lit(i).alias("s"), hash_rank(seed, key).alias("rank"))
+             for i, seed in enumerate(seeds)]
+    keyed = df.select(F.col(key).alias("key"), F.inline(F.array(*ranks)))
+    shift, total = RANK_BITS - LEVEL_BITS, None
+    before, chosen, open_seeds = dict.fromkeys(range(len(seeds)), 0), {}, set(range(len(seeds)))
+    scope = keyed
+    while open_seeds:
+        counts = sorted(tuple(r) for r in scope.groupBy(
+            "s", F.shiftright("rank", shift).alias("b")).count().collect())
         if total is None:
-            total = sum(c for _, c in counts)
+            total = sum(c for s, _, c in counts if s == 0)
             wanted = min(max(int(take(total)), 0), total)
             if wanted in (0, total):
-                return Cutoff(seed, key, total, wanted)
-        chosen = size = None
-        for value, count in counts:
-            if before + count >= wanted:
-                chosen, size = value, count
-                break
-            before += count
-        scope = keyed.filter(bucket == F.lit(chosen))
-        if size <= SETTLE_ROWS:
-            break
-        if shift == 0:
-            raise ValueError(f"{key} does not identify rows: {size} rows share one hash")
+                return [Cutoff(seed, key, total, wanted) for seed in seeds]
+        sizes = {}
+        for s, bucket, count in counts:
+            if s in sizes or s not in open_seeds:
+                continue
+            if before[s] + count >= wanted:
+                chosen[s], sizes[s] = (shift, bucket), count
+            else:
+                before[s] += count
+        open_seeds = {s for s in open_seeds if sizes[s] > SETTLE_ROWS}
+        if open_seeds and shift == 0:
+            raise ValueError(f"{key} does not identify rows: too many share one hash")
         shift -= LEVEL_BITS
-    edge = (scope.orderBy("rank", "key").limit(wanted - before)
-            .agg(F.max(F.struct("rank", "key")).alias("edge")).collect()[0]["edge"])
-    return Cutoff(seed, key, total, wanted, edge["rank"], edge["key"])
+        scope = keyed.filter(_inside(chosen, open_seeds)) if open_seeds else scope
+    # at most SETTLE_ROWS rows per seed are left to sort
+    order = Window.partitionBy("s").orderBy("rank", "key")
+    ready = keyed.filter(_inside(chosen, range(len(seeds)))).withColumn(
+        "nth", F.row_number().over(order))
+    hit = reduce(Column.__or__, [(F.col("s") == s) & (F.col("nth") == wanted - before[s])
+                                 for s in chosen])
+    edges = {r["s"]: r for r in ready.filter(hit).select("s", "rank", "key").collect()}
+    return [Cutoff(seed, key, total, wanted, edges[i]["rank"], edges[i]["key"])
+            for i, seed in enumerate(seeds)]
+
+
+def _inside(chosen: dict, members) -> Column:
+    """Rows of the chosen hash bucket of each seed."""
+    return reduce(Column.__or__, [
+        (F.col("s") == s) & (F.shiftright("rank", chosen[s][0]) == F.lit(chosen[s][1]))
+        for s in members])
 
 
 def exact_quantiles(df: DataFrame, column: str, ranks: Callable[[int], list[int]],

@@ -19,7 +19,7 @@ from gapwise.models.svm import fit_svm
 from gapwise.operators import impute, knn, metrics
 from gapwise.operators.profile import incomplete_columns
 from gapwise.operators.sample import pick_column
-from gapwise.operators.select_rank import hash_cutoff, share_of
+from gapwise.operators.select_rank import hash_cutoffs, share_of
 from gapwise.sources.generators import regression_table
 
 # Fixed value: candidate seeds are drawn from [1, SEED_LIMIT).
@@ -40,7 +40,7 @@ def check_corruptions(df: DataFrame, key: str, features: Sequence[str], label: s
     table.  Every training step and the final check serve all seeds in one
     grouped aggregate.
     """
-    cuts = [hash_cutoff(df, key, seed, share_of(rate)) for seed in seeds]
+    cuts = hash_cutoffs(df, key, seeds, share_of(rate))
     columns = [pick_column(features, seed) for seed in seeds]
     hit = [c.covers() for c in cuts]
     kept = F.explode(F.filter(

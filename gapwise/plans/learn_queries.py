@@ -196,15 +196,16 @@ def ols_gram_wide(spark, folder):
         (F.round(F.col("total") / F.col("n"), 6) + F.lit(0.0)).alias("value"))
 
 
-def descent_sql(prefix: str, source: str, slope: str, steps: int, rate: float, l2: str,
+def descent_sql(prefix: str, source: str, slope: str, steps: int, rate: float | str, l2: str,
                 features=("x0", "x1", "x2"), intercept: bool = True, digits: int = 5) -> str:
     """A fixed number of full-batch steps as a recursive query over ``source``."""
+    rate = rate if isinstance(rate, str) else f"{rate!r}::DOUBLE"
     ws = [f"w{i}" for i in range(len(features))]
     score = " + ".join(f"{f} * {w}" for f, w in zip(features, ws))
     moves = ", ".join(
-        f"any_value({w}) - {rate!r}::DOUBLE * ({l2} * any_value({w}) + sum(s * {f}) / count(*))"
+        f"any_value({w}) - {rate} * ({l2} * any_value({w}) + sum(s * {f}) / count(*))"
         for f, w in zip(features, ws))
-    bias = (f"any_value(b) - {rate!r}::DOUBLE * sum(s) / count(*)" if intercept
+    bias = (f"any_value(b) - {rate} * sum(s) / count(*)" if intercept
             else "0.0::DOUBLE")
     zeros = ", ".join("0.0::DOUBLE" for _ in ws)
     finals = " UNION ALL ".join(
@@ -306,10 +307,19 @@ def poly_features(spark, folder):
                                      for c in mapped.columns[1:]])
 
 
-@query("svm_poly_fit")
+_CUBIC_NAMES = tuple(name for name, _ in cubic_terms(fx.SVM_FEATURES, 1.0))
+_CUBIC_TABLE = (f"{fx.SVM}, c0 AS MATERIALIZED ({_COMPLETE}), k AS (SELECT "
+                f"{_GAMMA.replace('FROM t', 'FROM c0')} AS g), cu AS (SELECT y, "
+                f"{_CUBIC_CELLS.replace('round(', '(').replace(', 6) + 0.0', ')')} "
+                "FROM c0 CROSS JOIN k)")
+
+
+@query("svm_poly_fit", descent_sql(_CUBIC_TABLE, "SELECT * FROM cu", HINGE, 30, 0.2,
+                                   "0.0001::DOUBLE", _CUBIC_NAMES))
 def svm_poly_fit(spark, folder):
     complete = filters.drop_incomplete(fx.svm_gaps(spark, folder))
-    model, _ = fit_cubic_svm(complete, fx.SVM_FEATURES, "y", l2=1e-4)
+    model, _ = fit_cubic_svm(complete, fx.SVM_FEATURES, "y", l2=1e-4, steps=30, rate=0.2,
+                             solver="steps")
     return _weight_rows(spark, model)
 
 

@@ -14,7 +14,7 @@ from gapwise.operators import sample
 from gapwise.operators.profile import repair_bounds
 from gapwise.plans import experiments
 from gapwise.plans import fixtures as fx
-from gapwise.plans.learn_queries import HINGE, descent_sql
+from gapwise.plans.learn_queries import HINGE, LOGISTIC, descent_sql
 from gapwise.plans.registry import load, query
 
 _LINE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -304,10 +304,9 @@ def acm_worst_case_gd(spark, folder):
 def acm_eval(spark, folder):
     df = fx.svm_gaps(spark, folder)
     model = LinearModel(tuple(fx.SVM_FEATURES), tuple(_SVM_W))
-    both = approx.evaluate_classifier(df, model, "y").join(
-        approx.evaluate_regression(df, model, "y"))  # two one-row aggregates
-    return both.select(F.round("accuracy", 6).alias("accuracy"),
-                       F.round("mean_abs_error", 6).alias("mean_abs_error"))
+    return approx.evaluate(df, model, "y").select(F.round("accuracy", 6).alias("accuracy"),
+                                                  F.round("mean_abs_error", 6)
+                                                  .alias("mean_abs_error"))
 
 
 # ---------------------------------------------------------- iterative cleaning
@@ -361,12 +360,19 @@ def ac_pool_filter(spark, folder):
     return ac.filter_pool(pool, _AC_FEATURES, [0.8, 0.9, -0.2], -2.0).select("o_orderkey")
 
 
-@query("ac_error_classifier")
+_AC_RATE = ("(1.0::DOUBLE / (1.0::DOUBLE + (SELECT max(total * total + urgency * urgency "
+            "+ month * month) FROM t)))")
+
+
+@query("ac_error_classifier", descent_sql(
+    _AC_SQL, "SELECT total, urgency, month, CASE WHEN is_dirty THEN -1.0::DOUBLE "
+    "ELSE 1.0::DOUBLE END AS y FROM ap", LOGISTIC, 20, _AC_RATE, "0.000001::DOUBLE",
+    tuple(_AC_FEATURES)))
 def ac_error_classifier(spark, folder):
     """Clean/dirty classifier on all rows of the prepared table."""
     weights, intercept = ac.fit_error_classifier(_prepared(spark, folder), _AC_FEATURES, 20)
     model = LinearModel(tuple(_AC_FEATURES), tuple(float(w) for w in weights), float(intercept))
-    return model.as_table(spark)
+    return model.as_table(spark).select("feature", F.round("weight", 5).alias("weight"))
 
 
 @query("ac_run")
@@ -429,6 +435,27 @@ def _order_split(spark, folder):
     return sample.train_test_split(fx.order_gaps(spark, folder), "o_orderkey", 42)
 
 
+def _compare_sql() -> str:
+    rank = f"row_number() OVER (ORDER BY {fx.sql_rank('42', 'o_orderkey')}, o_orderkey)"
+    return f"""WITH {fx.ORDERS}, s AS (SELECT total AS x, y, {rank} <= ceil(0.2::DOUBLE *
+        count(*) OVER ()) AS is_test FROM og),
+      f AS (SELECT 'mean' AS method, coalesce(x, (SELECT avg(x) FROM s WHERE NOT is_test)) AS x, y
+        FROM s WHERE NOT is_test UNION ALL
+        SELECT 'delete', x, y FROM s WHERE NOT is_test AND x IS NOT NULL),
+      m AS (SELECT method, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM f GROUP BY method)
+      SELECT method, round(avg((a * x + b - y) * (a * x + b - y)), 6) AS score
+      FROM m CROSS JOIN s WHERE is_test AND x IS NOT NULL GROUP BY method"""
+
+
+@query("exp_compare_fills", _compare_sql())
+def exp_compare_fills(spark, folder):
+    """The two baselines with a closed form, on one feature."""
+    train, test = _order_split(spark, folder)
+    return experiments.compare_regression(
+        train, test, "o_orderkey", ["total"], "y", methods=("mean", "delete")).withColumn(
+        "score", F.round("score", 6))
+
+
 @query("exp_compare_regression")
 def exp_compare_regression(spark, folder):
     train, test = _order_split(spark, folder)
