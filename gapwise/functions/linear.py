@@ -7,12 +7,14 @@ one parsed string is far cheaper to send to the JVM than a tree of columns.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+FLAT_TERMS = 50
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -21,6 +23,15 @@ def number(value: float) -> str:
     return f"({float(value)!r}D)"
 
 
+def sum_text(terms: Sequence[str]) -> str:
+    """A sum; long ones are nested pairwise so that thousands of terms stay shallow."""
+    terms = list(terms) or ["0D"]
+    if len(terms) <= FLAT_TERMS:
+        return "(" + " + ".join(terms) + ")"
+    half = len(terms) // 2
+    return f"({sum_text(terms[:half])} + {sum_text(terms[half:])})"
+
+
 def score_text(features: Sequence[str], weights: Sequence[float], intercept: float = 0.0,
                skip_null: bool = False) -> str:
     """``w.x + b``; with ``skip_null`` a missing cell contributes nothing."""
@@ -29,7 +40,7 @@ def score_text(features: Sequence[str], weights: Sequence[float], intercept: flo
     terms = [f"{cell(f)} * {number(w)}" for f, w in zip(features, weights, strict=True)]
     if intercept:
         terms.append(number(intercept))
-    return "(" + " + ".join(terms or ["0D"]) + ")"
+    return sum_text(terms)
 
 
 def linear_score(features: Sequence[str], weights: Sequence[float], intercept: float = 0.0,
@@ -38,9 +49,7 @@ def linear_score(features: Sequence[str], weights: Sequence[float], intercept: f
 
 
 def any_null(columns: Sequence[str]) -> Column:
-    if not columns:
-        return F.lit(False)
-    return reduce(Column.__or__, [F.col(c).isNull() for c in columns])
+    return F.expr(any_null_text(columns))
 
 
 def any_null_text(columns: Sequence[str]) -> str:

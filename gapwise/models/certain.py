@@ -76,8 +76,10 @@ def check_linear(df: DataFrame, features: Sequence[str], label: str,
     model, gaps = fit_on_complete_columns(df, features, label)
     target = df if eval_df is None else eval_df
     if eval_df is not None:
-        gaps = [c for c, n in null_counts(target, features)[1].items()
-                if n and c not in model.features]
+        gaps = [c for c, n in null_counts(target, features)[1].items() if n]
+        broken = [c for c in gaps if c in model.features]
+        if broken:
+            raise ValueError(f"{broken} are complete in training but not in evaluation")
     peak, dot = _column_stats(gaps)
     missing = F.sum(F.when(any_null(gaps), 1).otherwise(0))
     stats = _residual_rows(target, model, gaps, label).agg(
@@ -118,6 +120,15 @@ def check_linear_rowwise(df: DataFrame, features: Sequence[str], label: str,
                            f"coalesce(NOT bool_or({bad}), true) AS is_certain")
 
 
+def _gaps_of_labelled(df: DataFrame, features: Sequence[str], label: str) -> list[str]:
+    """Incomplete features, after making sure that all labels are -1 or +1; one scan."""
+    row = df.selectExpr("count(*)", f"count_if({quoted(label)} IN (-1, 1))",
+                        *[f"count({quoted(f)})" for f in features]).collect()[0]
+    if row[1] != row[0]:
+        raise ValueError(f"{row[0] - row[1]} labels are not -1 or +1")
+    return [f for f, n in zip(features, row[2:]) if n < row[0]]
+
+
 def _svm_model(df, features, label, gaps, model, options):
     if model is not None:
         return model
@@ -134,8 +145,7 @@ def check_svm(df: DataFrame, features: Sequence[str], label: str,
     weight and every incomplete row must lie outside the margin on its observed
     cells (without the intercept).
     """
-    _, nulls = null_counts(df, features)
-    gaps = [c for c in features if nulls[c]]
+    gaps = _gaps_of_labelled(df, features, label)
     model = _svm_model(df, features, label, gaps, model, options)
     largest = max((abs(model.weight(c)) for c in gaps), default=0.0)
     margin = f"{quoted(label)} * {model.text(skip_null=True, with_intercept=False)}"
@@ -150,8 +160,7 @@ def check_svm_clipped(df: DataFrame, features: Sequence[str], label: str,
                       model: LinearModel | None = None, wtol: float = WEIGHT_TOLERANCE,
                       **options) -> DataFrame:
     """Variant that clips the score to [-1, 1] and rounds it half-even to one decimal."""
-    _, nulls = null_counts(df, features)
-    gaps = [c for c in features if nulls[c]]
+    gaps = _gaps_of_labelled(df, features, label)
     model = _svm_model(df, features, label, gaps, model, options)
     largest = max((abs(model.weight(c)) for c in gaps), default=0.0)
     score = model.text(skip_null=True, with_intercept=False)
@@ -186,8 +195,7 @@ def check_cubic_given(df: DataFrame, features: Sequence[str], label: str, model:
 def check_cubic_svm(df: DataFrame, features: Sequence[str], label: str,
                     **options) -> DataFrame:
     """Certain cubic-kernel SVM, fitted on the complete rows."""
-    _, nulls = null_counts(df, features)
-    gaps = [c for c in features if nulls[c]]
+    gaps = _gaps_of_labelled(df, features, label)
     model, gamma = fit_cubic_svm(df.filter(~any_null(gaps)), features, label, **options)
     return check_cubic_given(df, features, label, model, gamma, gaps)
 
@@ -209,8 +217,7 @@ def certain_score_regression(train: DataFrame, test: DataFrame, features: Sequen
 def certain_score_svm(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
                       **options) -> DataFrame:
     """(is_certain, score): accuracy of the complete-row model where it is certain."""
-    _, nulls = null_counts(train, features)
-    gaps = [c for c in features if nulls[c]]
+    gaps = _gaps_of_labelled(train, features, label)
     model = _svm_model(train, features, label, gaps, None, options)
     verdict = check_svm(train, features, label, model=model).collect()[0]["is_certain"]
     if not verdict:

@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.functions.linear import number, quoted
+from gapwise.functions.linear import number, quoted, sum_text
 from gapwise.models.descent import descend
 from gapwise.models.linear_model import LinearModel
 from gapwise.models.moments import NARROW
@@ -41,7 +41,7 @@ def fit_svm(df: DataFrame, features: Sequence[str], label: str, l2: float = 1e-4
     ready = VectorAssembler(inputCols=list(features), outputCol="features_").transform(
         df.select(*features, F.when(F.col(label) > 0, 1.0).otherwise(0.0).alias("label_")))
     fitted = LinearSVC(featuresCol="features_", labelCol="label_", regParam=l2, maxIter=steps,
-                       standardization=False, tol=1e-8).fit(ready)
+                       standardization=False, tol=1e-6).fit(ready)
     return LinearModel(tuple(features), tuple(float(v) for v in fitted.coefficients.toArray()),
                        float(fitted.intercept))
 
@@ -115,4 +115,4 @@ def cubic_score(model: LinearModel, features: Sequence[str], gamma: float) -> st
         for f in features:
             sql = sql.replace(quoted(f), f"coalesce({quoted(f)}, 0D)")
         terms.append(f"{sql} * {number(w)}")
-    return "(" + " + ".join(terms + [number(model.intercept)]) + ")"
+    return sum_text([*terms, number(model.intercept)])

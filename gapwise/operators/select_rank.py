@@ -105,6 +105,8 @@ def exact_quantiles(df: DataFrame, column: str, ranks: Callable[[int], list[int]
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     head = values.agg(F.count("v"), F.min("v"), F.max("v")).collect()[0]
     found = []
+    if not head[0]:
+        raise ValueError(f"{column} has no values")
     for rank in ranks(head[0]):
         low, high, before = head[1], head[2], 0
         inside = head[0]

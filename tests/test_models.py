@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gapwise.functions.linear import any_null, score_text
 from gapwise.models import approx, certain, moments
 from gapwise.models.descent import descend
 from gapwise.models.moments import wide_moments
@@ -11,6 +12,8 @@ from gapwise.models.newton import fit_many
 from gapwise.models.ols import fit_ols
 from gapwise.models.svm import cubic_score, cubic_terms, fit_cubic_svm, fit_svm
 from gapwise.operators.profile import repair_bounds
+from gapwise.operators.sample import make_dirty
+from gapwise.plans import experiments
 from gapwise.sources.generators import kernel_table, regression_table, svm_table
 
 
@@ -159,6 +162,49 @@ def test_missing_label_is_refused(spark):
         certain.check_linear(df, ["x0"], "y").collect()
 
 
+def test_hundreds_of_features_stay_shallow(spark):
+    names = [f"f{i}" for i in range(700)]
+    df = spark.range(4).select(*[(F.col("id") + i).cast("double").alias(n)
+                                 for i, n in enumerate(names)])
+    score = F.expr(score_text(names, [1.0] * len(names), 0.5, skip_null=True))
+    rows = df.filter(~any_null(names)).select(score.alias("s")).collect()
+    assert sorted(r["s"] for r in rows) == [700 * i + 699 * 350 + 0.5 for i in range(4)]
+
+
+def test_wide_svm_check_and_seed_search(spark):
+    rng = np.random.default_rng(9)
+    x = rng.uniform(0.5, 1, (60, 44))
+    y = np.where(np.arange(60) % 2 == 0, 1.0, -1.0)
+    x[:, 1:] *= y[:, None]
+    x[:, 0] = 0.0
+    names = [f"x{i}" for i in range(44)]
+    df = frame(spark, x, y, key=True)
+    found = experiments.check_corruptions(df, "id", names, "y", 0.1, [5], 1e-3)[0]
+    dirty = make_dirty(df, "id", names, 0.1, 5)
+    row = certain.check_svm(dirty, names, "y", model=found["model"]).collect()[0]
+    assert row["n_missing_rows"] == 6
+    assert np.isclose(row["min_margin"], found["min_margin"])
+    assert row["is_certain"] == found["is_certain"]
+
+
+def test_labels_must_be_plus_minus_one(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (None, 1.0)], "x0 double, y double")
+    with pytest.raises(ValueError, match="-1"):
+        certain.check_svm(df, ["x0"], "y")
+
+
+def test_evaluation_table_must_keep_complete_columns(spark):
+    train = spark.createDataFrame([(1.0, None, 2.0), (2.0, 1.0, 4.0)],
+                                  "x0 double, x1 double, y double")
+    other = spark.createDataFrame([(3.0, None, 6.0), (4.0, 2.0, 8.0)],
+                                  "x0 double, x1 double, y double")
+    names = ["x0", "x1"]
+    assert certain.check_linear(train, names, "y", eval_df=other).collect()[0]["is_certain"]
+    broken = other.withColumn("x0", F.lit(None).cast("double"))
+    with pytest.raises(ValueError, match="complete in training"):
+        certain.check_linear(train, names, "y", eval_df=broken)
+
+
 def test_no_gaps_means_certain(spark):
     x = np.arange(12.0).reshape(6, 2)
     assert certain.check_linear(frame(spark, x, x[:, 0] ** 2), ["x0", "x1"],
