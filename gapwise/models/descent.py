@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.functions.linear import number, quoted, score_text
+from gapwise.functions.linear import quoted, score_text
 from gapwise.models.linear_model import LinearModel
 from gapwise.models.moments import NARROW, _block
 
