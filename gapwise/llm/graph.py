@@ -8,44 +8,38 @@ from pyspark.sql import functions as F
 from gapwise.llm.store import forget, keep
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-def _star(arcs: DataFrame) -> DataFrame:
-    """Hang every neighbour b of a on a's least neighbour.
-
-    The minimum combines before the shuffle, and the join back is a plain
-    equi-join, whose hot keys Spark can split.
-    """
-    least = arcs.groupBy("a").agg(F.min("b").alias("least"))
-    least = least.select("a", F.least("a", "least").alias("least"))
-    return arcs.join(least, "a")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for all nodes of ``edges`` (a, b).
 
-    Alternating large and small stars (Kiveris et al., 2014): the number of
-    rounds grows with the logarithm of the longest path.  Each round is written.
+    Contraction: every node joins the first of itself and its neighbours in a
+    random order, edges inside a group vanish, and the rest repeat on the
+    groups.  Each round removes a constant share of the nodes on average,
+    whatever the shape of the graph.  Minima combine before the shuffle and hot
+    nodes meet plain equi-joins, which Spark can split.
     """
     spark = edges.sparkSession
     flat = keep(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                 .distinct(), "edges")
-    state = None
-    while True:
-        found = flat.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == found or not found[0]:
-            break
-        state = found
-        large = _star(_both_ways(flat)).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        # every node stands above its parents here, so the small star needs one direction only
-        low = _star(large.where("a != b").distinct())
-        small = low.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
-            low.select("a", F.col("least").alias("b"))).where("a != b").distinct()
-        after = keep(small, "edges")
+    steps: list[DataFrame] = []
+    while not flat.isEmpty():
+        turn = len(steps)
+        ways = flat.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+                           .alias("w")).select("w.a", "w.b")
+        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c), F.col(c).alias("n"))  # noqa: B023, E731
+        near = ways.groupBy("a").agg(F.min(order("b")).alias("best"))
+        step = keep(near.select(F.col("a").alias("node"), F.least(order("a"), "best")["n"].alias("into")), "step")
+        left = step.select(F.col("node").alias("a"), F.col("into").alias("x"))
+        right = step.select(F.col("node").alias("b"), F.col("into").alias("y"))
+        moved = flat.join(left, "a").join(right, "b").where("x != y")
+        after = keep(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
         forget(spark, flat)
         flat = after
-    leaves = flat.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    roots = flat.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return leaves.unionByName(roots)
+        steps.append(step)
+    if not steps:
+        return flat.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = steps[0].select("node", F.col("into").alias("root"))
+    for step in steps[1:]:
+        onward = step.select(F.col("node").alias("root"), "into")
+        roots = roots.join(onward, "root", "left").select("node", F.coalesce("into", "root").alias("root"))
+    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return roots.join(least, "root").select("node", "component")

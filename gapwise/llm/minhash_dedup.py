@@ -31,7 +31,6 @@ from gapwise.llm.words import mix, shingle_sets
 #: 32 bands of 5 bins: a pair at 0.8 shares no band with a chance of 3 in a million.
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-LEAST_ROUNDS = 3  #: rounds of new centres before an empty round may end the search
 
 _EDGES = (np.arange(BINS, dtype=object) * (1 << 64) // BINS).astype(np.uint64)
 _ORDER = np.argsort(np.argsort(mix(
@@ -129,6 +128,21 @@ def stars(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
             .select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct())
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after new ``links`` (a, b) between components."""
+    if labels is None:
+        return components(links)
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    raised = links.join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    found = components(raised)
+    onward = found.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    moved = labels.join(onward, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    # ids that had no links yet
+    return moved.unionByName(found.join(labels.select("node"), "node", "left_anti"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                     percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
@@ -152,26 +166,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     live = members.select("id").distinct()
     sets = keep(full_sets(docs.join(live, "id"), words), "sets")
 
-    tested = links = labels = None
+    tested = labels = None
     turn = 0
     while True:
         pairs = stars(members, labels, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn == 0 or turn >= LEAST_ROUNDS:
-                break
-            turn += 1
-            continue
         fresh = keep(confirmed(pairs, sets, percent), "links")
-        found = not fresh.isEmpty()
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if found:
-            links = fresh if links is None else links.unionByName(fresh)
-            labels = components(links)
-        elif labels is None or turn >= LEAST_ROUNDS:
+        if fresh.isEmpty():
             break
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        labels = keep(merged(labels, fresh), "labels")
         turn += 1
     forget(spark, members, sets)
     by_rep = classes
