@@ -107,24 +107,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def stars(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Candidate pairs of one round: in each bucket, its centre with each other member.
+def still_split(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, component) of the buckets that hold several components yet."""
+    rows = members.select("key", "id").join(labels, members["id"] == labels["node"], "left").select(
+        "key", "id", F.coalesce("component", "id").alias("component"))
+    split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
+        "low < high").select("key")
+    return rows.join(split, "key")
+
 
-    ``members`` has (key, id).  In the first round the centre follows from one
-    order of all ids, so that large groups share few centres; later rounds draw
-    it for each bucket anew and keep only pairs between components.
+def stars(members: DataFrame, turn: int) -> DataFrame:
+    """Candidate pairs of one round: in each bucket, its centre with each member of another component.
+
+    In the first round the centre follows from one order of all ids, so that
+    large groups share few centres; later rounds draw it for each bucket anew.
     """
-    if labels is None:
-        rows, rank = members.withColumn("component", F.col("id")), F.xxhash64(F.lit(turn), "id")
-    else:
-        rows = members.join(labels, members["id"] == labels["node"], "left").select(
-            "key", "id", F.coalesce("component", "id").alias("component"))
-        rank = F.xxhash64(F.lit(turn), "key", "id")
-    centres = rows.groupBy("key").agg(
-        F.min(F.struct(rank.alias("rank"), F.col("id").alias("centre"), F.col("component").alias("at"))).alias("c"),
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low < high").select("key", "c.centre", "c.at")
-    return (rows.join(centres, "key").where("component != at")
+    rank = F.xxhash64(F.lit(turn), "id") if turn == 0 else F.xxhash64(F.lit(turn), "key", "id")
+    centres = members.groupBy("key").agg(F.min(F.struct(
+        rank.alias("rank"), F.col("id").alias("centre"), F.col("component").alias("at"))).alias("c")).select(
+        "key", "c.centre", "c.at")
+    return (members.join(centres, "key").where("component != at")
             .select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct())
 
 
@@ -162,14 +164,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = reps.select("id", F.explode("keys").alias("key"))
     crowded = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(
         "low < high").select("key")
-    members = keep(entries.join(crowded, "key").distinct(), "members")
+    members = keep(entries.join(crowded, "key").distinct().withColumn("component", F.col("id")), "members")
     live = members.select("id").distinct()
     sets = keep(full_sets(docs.join(live, "id"), words), "sets")
 
     tested = labels = None
     turn = 0
     while True:
-        pairs = stars(members, labels, turn)
+        if turn:
+            rest = keep(still_split(members, labels), "members")
+            forget(spark, members)
+            members = rest
+        pairs = stars(members, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
