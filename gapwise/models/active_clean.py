@@ -23,6 +23,7 @@ from gapwise.operators.profile import incomplete_columns
 from gapwise.operators.sample import sample_with_replacement
 from gapwise.session import cut_lineage
 
+# Fixed values of the studied workflow.
 BATCH = 50
 TOTAL = 10_000
 DIRTY_THRESHOLD = 0.90
@@ -110,7 +111,11 @@ def fit_error_classifier(labelled: DataFrame, features: Sequence[str], steps: in
         return None
     rows = labelled.withColumn("clean_", F.when(F.col("is_dirty"), -1.0).otherwise(1.0))
     learner = _Learner("log", 1e-6, np.zeros(len(features)))
-    learner.update_table(rows, features, "clean_", steps)
+    rows = rows.persist()  # every step reads it
+    try:
+        learner.update_table(rows, features, "clean_", steps)
+    finally:
+        rows.unpersist()
     return learner.weights, learner.intercept
 
 
@@ -150,6 +155,8 @@ class _Sample:
         if self.small:
             if not self.dirty.any():
                 return False
+            # refitted from zero on every batch, as the table form does
+            learner.weights, learner.intercept = np.zeros(len(self.features)), 0.0
             learner.update(self.x, np.where(self.dirty, -1.0, 1.0), self.times, steps)
             return True
         found = fit_error_classifier(self.table, self.features, steps)

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.functions.linear import any_null, number, quoted, score_text
-from gapwise.models.descent import settle
 from gapwise.models.linear_model import LinearModel
 from gapwise.models.moments import Moments, moments, moments_by
 from gapwise.models.newton import fit_many
 from gapwise.operators.impute import adversarial_text, extreme_versions
+from gapwise.operators.profile import incomplete_columns
 from gapwise.operators.metrics import accuracy, mean_absolute_error
 
 Bounds = Mapping[str, tuple[float, float]]
@@ -42,6 +42,9 @@ class Versions:
 def linear_versions(df: DataFrame, key: str, features: Sequence[str], label: str,
                     bounds: Bounds, versions: int, seed) -> Versions:
     """Moments of every repair version from one pass over complete and one over incomplete rows."""
+    open_ = [c for c in incomplete_columns(df, features) if c not in bounds]
+    if open_:
+        raise ValueError(f"no bounds for the incomplete features {open_}")
     gap = any_null(list(bounds))
     shared = moments(df.filter(~gap), features, label, intercept=True)
     many = extreme_versions(df, key, bounds, versions, seed)
@@ -229,7 +232,6 @@ def worst_case_descent(df: DataFrame, features: Sequence[str], label: str, bound
                                 *[f"sum(r_ * x{i})" for i in range(d)]).collect()[0])
             loss = sums[1] / sums[0]
             grad = 2.0 / sums[0] * np.array(sums[2:], float)
-            rows = settle(kept, sums[0])
             if used == steps or np.linalg.norm(grad) <= tolerance:
                 break
             w = w - rate * grad

@@ -19,7 +19,6 @@ from gapwise.functions.linear import quoted, score_text
 from gapwise.models.linear_model import LinearModel
 from gapwise.models.moments import NARROW, _block
 
-ONE_TASK_ROWS = 100_000
 
 # derivative of the loss with respect to the score f for a row with label y
 SLOPES = {
@@ -63,18 +62,12 @@ def _wide_slope_sums(df, features, label, weights, intercept, loss):
 
     packed = df.select(F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
                        F.col(label).cast("double").alias("y"))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    sums = (packed.coalesce(cores).mapInArrow(partial, "j int, n bigint, v double")
+    sums = (packed.mapInArrow(partial, "j int, n bigint, v double")
             .groupBy("j").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect())
     by = {r["j"]: r for r in sums}
     return by[width]["n"], [by[j]["v"] for j in range(width)], by[width]["v"]
 
 
-def settle(rows: DataFrame, n: int) -> DataFrame:
-    """A view on few rows that needs no exchange to aggregate; large tables stay as they are."""
-    return rows.coalesce(1) if n <= ONE_TASK_ROWS else rows
-
-
 def held(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """The columns a learner reads, kept in memory (disk below) for its passes."""
     return df.selectExpr(*[f"cast({quoted(f)} AS double) AS {quoted(f)}" for f in features],
@@ -95,7 +88,6 @@ def descend(df: DataFrame, features: Sequence[str], label: str, loss: str, steps
             n, grad, total = slope_sums(rows, features, label, w, b, loss)
             if not n:
                 break
-            rows = settle(kept, n)
             g = l2 * w + np.array(grad) / n
             gb = total / n if intercept else 0.0
             w, b = w - rate * g, b - rate * gb

@@ -1,7 +1,7 @@
 """Gram matrices as aggregates.
 
-Narrow tables use one built-in ``sum`` per feature pair, which stays inside
-generated code and combines before the shuffle.  Beyond ``NARROW`` features the
+Narrow tables use one built-in ``sum`` per feature pair, which combines
+before the shuffle; generated code covers it up to about ten features.  Beyond ``NARROW`` features the
 columns travel as one array and each task adds up its own blocks with a matrix
 product, so a task emits d rows whatever its row count.
 """
@@ -142,9 +142,7 @@ def gram_rows(df: DataFrame, array: str, label: str, width: int,
             "nulls": pa.array(nulls.astype(int), pa.int64()),
             "values": pa.array(list(total), pa.list_(pa.float64()))})
 
-    # coalesce merges input splits inside a task without moving rows
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = (df.select(array, label).coalesce(cores)
+    parts = (df.select(array, label)
              .mapInArrow(partial, "i int, n bigint, nulls bigint, values array<double>"))
     size = width + extra + 1
     sums = [F.sum(F.col("values")[j]).alias(f"v{j}") for j in range(size)]

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.functions.linear import number, quoted
-from gapwise.models.descent import settle
 from gapwise.models.linear_model import LinearModel
 from gapwise.models.moments import NARROW
 
@@ -144,7 +143,6 @@ def fit_many(df: DataFrame, model: str | None, models: int, features: Sequence[s
                 elif not fit.done:
                     n[i] = sums[i][0]
                     fit.receive(*sums[i])
-            rows = settle(kept, sum(s[0] for s in sums.values()))
     finally:
         kept.unpersist()
     return [LinearModel(tuple(features), tuple(float(v) for v in f.at[:-1]), float(f.at[-1]),

@@ -25,13 +25,16 @@ def fit_svm(df: DataFrame, features: Sequence[str], label: str, l2: float = 1e-4
             steps: int = 100, rate: float = 0.5, solver: str = "auto") -> LinearModel:
     """min mean hinge + l2/2 |w|^2 over complete rows with labels -1 and +1.
 
-    ``newton`` (the choice for narrow tables) converges in a few tens of scans;
-    ``mllib`` (the choice for wide ones) hands the same objective to Spark's
+    ``newton`` (the default) converges in a few tens of scans and takes at most
+    NARROW features; beyond them the caller chooses, because the learners stop
+    by different rules: ``mllib`` hands the same objective to Spark's
     quasi-Newton learner; ``steps`` is a fixed number of sub-gradient steps that
     can be reproduced in SQL.
     """
     if solver == "auto":
-        solver = "newton" if len(features) <= NARROW else "mllib"
+        if len(features) > NARROW:
+            raise ValueError(f"more than {NARROW} features: choose solver='mllib' or 'steps'")
+        solver = "newton"
     if solver == "steps":
         return descend(df, features, label, "hinge", steps, rate, l2)
     if solver == "newton":

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gapwise.operators.project import column_mode, string_columns
 
-MAX_CATEGORIES = 20
+MAX_CATEGORIES = 20  # fixed value of the studied workflow
 
 
 def mode_binarise(df: DataFrame, columns: Sequence[str]) -> DataFrame:

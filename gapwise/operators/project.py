@@ -89,12 +89,17 @@ def string_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t == "string"]
 
 
+# Spark's cast also takes Java's type suffixes ("1d", "2f"); a number has none.
+_NUMBER = (r"rlike '(?i)^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?\\s*$"
+           r"|^\\s*([+-]?inf(inity)?|nan)\\s*$'")
+
+
 def to_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Cast a string column to double if every non-null value parses, else keep it."""
     columns = [c for c in (columns or string_columns(df)) if dict(df.dtypes)[c] == "string"]
     if not columns:
         return df
-    tests = [f"bool_and({quoted(c)} IS NULL OR try_cast({quoted(c)} AS double) IS NOT NULL)"
+    tests = [f"bool_and({quoted(c)} IS NULL OR {quoted(c)} {_NUMBER})"
              for c in columns]
     verdict = df.selectExpr(*tests).collect()[0]
     numeric = {c for c, ok in zip(columns, verdict) if ok}
@@ -105,7 +110,8 @@ def to_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 def try_parse(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """Parse cell by cell; text that is no number becomes 0, NULL stays NULL."""
     parsed = F.expr(f"CASE WHEN {quoted(column)} IS NOT NULL "
-                    f"THEN coalesce(try_cast({quoted(column)} AS double), 0D) END")
+                    f"THEN coalesce(CASE WHEN {quoted(column)} {_NUMBER} "
+                    f"THEN try_cast({quoted(column)} AS double) END, 0D) END")
     return df.withColumn(name or column, parsed)
 
 

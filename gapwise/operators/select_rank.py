@@ -97,12 +97,13 @@ def _inside(chosen: dict, members) -> Column:
 
 def exact_quantiles(df: DataFrame, column: str, ranks: Callable[[int], list[int]],
                     slots: int = 4096) -> list[float]:
-    """Values at 0-based ranks of the non-null values of a numeric column.
+    """Values at 0-based ranks of the values of a numeric column; NULL and NaN are none.
 
     The value range holding a rank is split into ``slots`` equal parts and
     counted until it holds a single value or few enough rows to sort.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    values = df.select(F.col(column).cast("double").alias("v")).filter(
+        F.col("v").isNotNull() & ~F.isnan("v"))
     head = values.agg(F.count("v"), F.min("v"), F.max("v")).collect()[0]
     found = []
     if not head[0]:
@@ -112,7 +113,21 @@ def exact_quantiles(df: DataFrame, column: str, ranks: Callable[[int], list[int]
         inside = head[0]
         scope = values
         while low < high and inside > SETTLE_ROWS:
-            width = (high - low) / slots
+            if math.isinf(low) or math.isinf(high):
+                # count the infinities apart and go on with the finite values
+                below, finite, least, most = scope.agg(
+                    F.count_if(F.col("v") == float("-inf")), F.count_if(F.abs("v") < float("inf")),
+                    F.min(F.when(F.col("v") > float("-inf"), F.col("v"))),
+                    F.max(F.when(F.col("v") < float("inf"), F.col("v")))).collect()[0]
+                if rank < before + below:
+                    high = low
+                elif rank >= before + below + finite:
+                    low = high
+                else:
+                    before, inside, low, high = before + below, finite, least, most
+                    scope = values.filter(F.col("v").between(F.lit(low), F.lit(high)))
+                continue
+            width = high / slots - low / slots
             if not width > 0 or low + width <= low:
                 break
             slot = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(slots - 1))

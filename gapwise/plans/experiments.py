@@ -126,18 +126,23 @@ def sweep_linear(ids: DataFrame, key: str, feature_counts: Sequence[int],
 
 
 def _table(df: DataFrame, rows: list[tuple]) -> DataFrame:
-    return df.sparkSession.createDataFrame(rows, "method string, score double")
+    return df.sparkSession.createDataFrame(rows, "method string, metric string, score double")
 
 
 def compare_regression(train: DataFrame, test: DataFrame, key: str, features: Sequence[str],
                        label: str, seed=0, runs: int = 5, total: int = 1000,
                        methods: Sequence[str] = ("certain", "knn", "mean", "delete",
-                                                 "active_clean")) -> DataFrame:
-    """(method, score): mean squared error on complete test rows; R^2 for active cleaning."""
+                                                 "active_clean"),
+                       intercept: bool = False) -> DataFrame:
+    """(method, metric, score) on complete test rows: ``mse``, but ``r2`` for active cleaning.
+
+    The baselines have the model class of the certain model, least squares
+    without intercept, unless ``intercept`` is set.
+    """
     complete_test = test.na.drop("any", subset=list(features))
 
     def score_of(fitted_on: DataFrame) -> float:
-        model = fit_ols(fitted_on, features, label, intercept=True)
+        model = fit_ols(fitted_on, features, label, intercept=intercept)
         return complete_test.agg(
             metrics.mean_squared_error(model.score(), label)).collect()[0][0]
 
@@ -150,7 +155,7 @@ def compare_classification(train: DataFrame, test: DataFrame, key: str, features
                            l2: float = 1e-4,
                            methods: Sequence[str] = ("certain", "knn", "mean", "delete",
                                                      "active_clean")) -> DataFrame:
-    """(method, score): accuracy of a linear SVM on complete test rows."""
+    """(method, metric, score): ``accuracy`` of a linear SVM on complete test rows."""
     complete_test = test.na.drop("any", subset=list(features))
 
     def score_of(fitted_on: DataFrame) -> float:
@@ -184,7 +189,8 @@ def _compare(train, test, key, features, label, seed, runs, total, methods, task
             score = average_runs(runs_table).collect()[0]["avg_score"]
         else:
             raise ValueError(f"unknown method {method}")
-        rows.append((method, score))
+        metric = "accuracy" if task == "classification" else "r2" if method == "active_clean" else "mse"
+        rows.append((method, metric, score))
     return _table(train, rows)
 
 

@@ -442,8 +442,8 @@ def _compare_sql() -> str:
       f AS (SELECT 'mean' AS method, coalesce(x, (SELECT avg(x) FROM s WHERE NOT is_test)) AS x, y
         FROM s WHERE NOT is_test UNION ALL
         SELECT 'delete', x, y FROM s WHERE NOT is_test AND x IS NOT NULL),
-      m AS (SELECT method, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM f GROUP BY method)
-      SELECT method, round(avg((a * x + b - y) * (a * x + b - y)), 6) AS score
+      m AS (SELECT method, sum(x * y) / sum(x * x) AS a FROM f GROUP BY method)
+      SELECT method, 'mse' AS metric, round(avg((a * x - y) * (a * x - y)), 6) AS score
       FROM m CROSS JOIN s WHERE is_test AND x IS NOT NULL GROUP BY method"""
 
 
@@ -459,15 +459,13 @@ def exp_compare_fills(spark, folder):
 @query("exp_compare_regression")
 def exp_compare_regression(spark, folder):
     train, test = _order_split(spark, folder)
-    return experiments.compare_regression(train, test, "o_orderkey", _AC_FEATURES, "y", runs=2,
-                                          total=200)
+    return experiments.compare_regression(train, test, "o_orderkey", _AC_FEATURES, "y")
 
 
 @query("exp_compare_classification")
 def exp_compare_classification(spark, folder):
     df = fx.svm_gaps(spark, folder)
     train, test = sample.train_test_split(df, "row_id", 42)
-    return experiments.compare_classification(train, test, "row_id", fx.SVM_FEATURES, "y",
-                                              runs=2, total=200)
+    return experiments.compare_classification(train, test, "row_id", fx.SVM_FEATURES, "y")
 
 

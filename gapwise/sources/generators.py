@@ -22,7 +22,7 @@ INFORMATIVE_SHARE = 5          # one feature in five carries the label
 COEFFICIENT_SCALE = 100.0
 SVM_LOW, SVM_HIGH = 2500.0, 10000.0
 
-MAX_DRAWS = 64
+EMPTY_DRAWS = 64  # candidates per key without one outside the margin before giving up
 
 
 def gaussian(seed, key: str, name: str):
@@ -82,7 +82,7 @@ def kernel_table(ids: DataFrame, key: str, n_features: int, n_extra: int, seed,
                  low: float = 0.0) -> DataFrame:
     """x0 = 0 everywhere; plus ``n_extra`` rows outside the margin of a cubic-kernel SVM.
 
-    Candidates are further hashed rows per key; ``n_extra`` of those with |f| > 1
+    Candidates are further hashed rows per key; exactly ``n_extra`` of those with |f| > 1
     are kept, labelled by the sign of f, and x0 is blanked there.
     """
     names = [f"x{i}" for i in range(n_features)]
@@ -101,9 +101,12 @@ def kernel_table(ids: DataFrame, key: str, n_features: int, n_extra: int, seed,
             *[(F.lit(low) + F.lit(1.0 - low) * uniform(f"{seed}/extra", key, "draw", F.lit(n)))
               .alias(n) for n in names[1:]])
             .withColumn("f", F.expr(score)).filter(F.abs("f") > 1.0))
-        if draws >= MAX_DRAWS or candidates.count() >= n_extra:
+        found = candidates.count()
+        if found >= n_extra:
             break
-        draws *= 2
+        if not found and draws >= EMPTY_DRAWS:
+            raise ValueError(f"asked for {n_extra} rows outside the margin, found none")
+        draws = max(2 * draws, int(1.1 * draws * n_extra / max(found, 1)) if found else 0)
     extra = sample_rows(candidates, "row_id", f"{seed}/pick", n_extra)
     return base.unionByName(extra.select(
         "row_id", F.lit(None).cast("double").alias("x0"), *names[1:],

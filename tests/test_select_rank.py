@@ -68,3 +68,13 @@ def test_make_dirty_blanks_exact_count_in_one_column(spark):
     dirty = sample.make_dirty(df, "id", ["a", "b", "c"], 0.1, 4)
     counts = dirty.selectExpr("count(a)", "count(b)", "count(c)").collect()[0]
     assert sorted(counts) == [207, 230, 230]
+
+
+@pytest.mark.parametrize("settle", [3, 10_000])
+def test_quantiles_skip_nan_and_count_infinities(spark, monkeypatch, settle):
+    monkeypatch.setattr(select_rank, "SETTLE_ROWS", settle)
+    inf, nan = float("inf"), float("nan")
+    rows = [(v,) for v in (1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, inf, inf, -inf, nan, None)]
+    df = spark.createDataFrame(rows, "v double")
+    assert select_rank.exact_quantiles(df, "v", lambda n: list(range(n))) == [
+        -inf, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, inf, inf]

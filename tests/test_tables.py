@@ -83,3 +83,18 @@ def test_constant_column_scales_to_zero(spark):
 def test_tiny_and_const_imputers_leave_no_null(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, 2.0, None)], "id bigint, a double, s string")
     assert impute.impute_constant(df).filter("a IS NULL OR s IS NULL").count() == 0
+
+
+def test_type_suffixes_are_no_numbers(spark):
+    from gapwise.operators.project import to_numeric, try_parse
+
+    df = spark.createDataFrame([("1d", "1"), ("2f", " 2e3 "), ("-.5", "3."), (None, None)], "a string, b string")
+    assert to_numeric(df).dtypes == [("a", "string"), ("b", "double")]
+    assert [r[0] for r in try_parse(df, "a").select("a").collect()] == [0.0, 0.0, -0.5, None]
+
+
+def test_kernel_table_has_every_row_asked_for(spark):
+    from gapwise.sources.generators import kernel_table
+
+    table = kernel_table(spark.range(30).withColumnRenamed("id", "k"), "k", 3, 400, 5)
+    assert table.where("x0 is null").count() == 400
