@@ -5,9 +5,10 @@ byte 6-grams, hashed to a fixed number of weights, and a logistic model is
 fitted to labelled texts.  For texts that name a group, a counterfactual twin
 names another group of the same kind; the squared change of the score is
 penalised, so that a mere mention earns no weight.  Second level: a text's
-strongest words, three strongest and overall evidence are calibrated on
-labelled texts that the first level did not see, because one insult in a long
-text must count as much as in a short one.
+strongest word, three strongest and overall evidence are calibrated on labelled
+texts that their first level did not see (each half of the sample is judged by
+the other), because one insult in a long text must count as much as in a short
+one.
 
 The models are fitted on the driver on a bounded sample (``SAMPLE``); scoring
 runs over all whole texts.
@@ -29,7 +30,7 @@ from gapwise.llm.words import LOWER, prefix_sums, span_hashes, word_spans
 
 DIMS = 1 << 18
 GRAM = 6  #: bytes
-SAMPLE = 10_000  #: labelled texts at most, nearly: half for each level
+SAMPLE = 10_000  #: labelled texts at most, nearly
 PENALTY = 1.0  #: weight of the squared change under a swap
 LEAST_TEXTS = 3  #: texts that a feature must occur in
 THRESHOLD = 0.3
@@ -145,15 +146,15 @@ class Calibration:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, features, twin) of (toxic, text)."""
-    for batch in slices(batches, 1):
-        texts = texts_of(batch.column(1))
+    """(level, toxic, features, twin) of (level, toxic, text)."""
+    for batch in slices(batches, 2):
+        texts = texts_of(batch.column(2))
         own = [np.unique(word_features(t)[0]).astype(np.int32) for t in texts]
         twins = [None if (c := counterfactual(t)) is None else np.unique(word_features(c)[0]).astype(np.int32)
                  for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(twins, pa.list_(pa.int32()))],
-            ["toxic", "own", "twin"])
+            [batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32())),
+             pa.array(twins, pa.list_(pa.int32()))], ["level", "toxic", "own", "twin"])
 
 
 def _evidence_of(weights: np.ndarray):
@@ -184,15 +185,23 @@ def score(df: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # the sample is bounded by its parameter, so its keys may be broadcast
     taught = docs.join(F.broadcast(picked), "id")
-    first = taught.where("level = 0").select("toxic", "text").mapInArrow(
-        _features, "toxic long, own array<int>, twin array<int>").toArrow()
-    own = first.column("own").combine_chunks()
+    seen = taught.select("level", "toxic", "text").mapInArrow(
+        _features, "level long, toxic long, own array<int>, twin array<int>").toArrow()
+    own = seen.column("own").combine_chunks()
     flat, ends = own.values.to_numpy(), own.offsets.to_numpy()
     texts = [flat[a:b].astype(np.int64) for a, b in zip(ends[:-1], ends[1:])]
-    twins = {i: np.array(t, np.int64) for i, t in enumerate(first.column("twin").to_pylist()) if t is not None}
-    weights = fit_words(texts, twins, first.column("toxic").to_numpy().astype(float)).astype(np.float32)
-    second = taught.where("level = 1").select("toxic", "text").mapInArrow(
-        _evidence_of(weights), "toxic long, evidence array<double>").collect()
+    twins = {i: np.array(t, np.int64) for i, t in enumerate(seen.column("twin").to_pylist()) if t is not None}
+    toxic, half = seen.column("toxic").to_numpy().astype(float), seen.column("level").to_numpy()
+
+    def fitted(rows: np.ndarray) -> np.ndarray:
+        place = {int(r): n for n, r in enumerate(rows)}
+        return fit_words([texts[r] for r in rows], {place[i]: t for i, t in twins.items() if i in place},
+                         toxic[rows]).astype(np.float32)
+    # each half is judged by what the other half taught; scoring uses what both teach
+    other = [fitted(np.flatnonzero(half != h)) for h in (0, 1)]
+    weights = fitted(np.arange(len(texts)))
+    second = [r for h in (0, 1) for r in taught.where(F.col("level") == h).select("toxic", "text").mapInArrow(
+        _evidence_of(other[h]), "toxic long, evidence array<double>").collect()]
     model = Calibration(np.array([r["evidence"] for r in second]).reshape(-1, 3),
                         np.array([r["toxic"] for r in second], float))
     kind = dict(docs.dtypes)["id"]
