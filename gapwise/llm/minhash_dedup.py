@@ -108,25 +108,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def still_split(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, component) of the buckets that hold several components yet."""
-    rows = members.select("key", "id").join(labels, members["id"] == labels["node"], "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component"))
+    """(key, id, n, component) of the buckets that hold several components yet."""
+    rows = members.select("key", "id", "n").join(labels, members["id"] == labels["node"], "left").select(
+        "key", "id", "n", F.coalesce("component", "id").alias("component"))
     split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
         "low < high").select("key")
     return rows.join(split, "key")
 
 
-def stars(members: DataFrame, turn: int) -> DataFrame:
+def stars(members: DataFrame, turn: int, percent: int) -> DataFrame:
     """Candidate pairs of one round: in each bucket, its centre with each member of another component.
 
+    Sets whose sizes alone rule a link out are no candidates.
+
     In the first round the centre follows from one order of all ids, so that
     large groups share few centres; later rounds draw it for each bucket anew.
     """
     rank = F.xxhash64(F.lit(turn), "id") if turn == 0 else F.xxhash64(F.lit(turn), "key", "id")
     centres = members.groupBy("key").agg(F.min(F.struct(
-        rank.alias("rank"), F.col("id").alias("centre"), F.col("component").alias("at"))).alias("c")).select(
-        "key", "c.centre", "c.at")
-    return (members.join(centres, "key").where("component != at")
+        rank.alias("rank"), F.col("id").alias("centre"), F.col("component").alias("at"), F.col("n").alias("m"))).alias("c")).select(
+        "key", "c.centre", "c.at", "c.m")
+    possible = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    return (members.join(centres, "key").where(F.col("component") != F.col("at")).where(possible)
             .select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct())
 
 
@@ -160,8 +163,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = keep(signatures(docs, words), "signatures")
     classes = keep(signed.where("digest is not null and id is not null")
                    .groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = signed.where("id is not null").join(classes, "digest").where("id = rep").select("id", "keys")
-    entries = reps.select("id", F.explode("keys").alias("key"))
+    reps = signed.where("id is not null").join(classes, "digest").where("id = rep").select("id", "keys", F.col("n_shingles").alias("n"))
+    entries = reps.select("id", "n", F.explode("keys").alias("key"))
     crowded = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(
         "low < high").select("key")
     members = keep(entries.join(crowded, "key").distinct().withColumn("component", F.col("id")), "members")
@@ -175,7 +178,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rest = keep(still_split(members, labels), "members")
             forget(spark, members)
             members = rest
-        pairs = stars(members, turn)
+        pairs = stars(members, turn, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
