@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.llm.graph import components
-from gapwise.llm.store import forget, keep, only, slices, texts_of
+from gapwise.llm.store import forget, forget_table, keep, keep_by_key, only, slices, texts_of
 from gapwise.llm.words import mix, shingle_sets
 
 #: 32 bands of 5 bins: a pair at 0.8 shares no band with a chance of 3 in a million.
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
+PARTS = 64  #: tasks that the pairs of one centre are dealt to
 
 _EDGES = (np.arange(BINS, dtype=object) * (1 << 64) // BINS).astype(np.uint64)
 _ORDER = np.argsort(np.argsort(mix(
@@ -86,11 +87,21 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |A and B| >= percent * |A or B|, in whole numbers."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
+    """The pairs (a, b) with 100 * |A and B| >= percent * |A or B|, in whole numbers.
+
+    ``pairs`` (a, b, hub) name the one of the two that was the bucket's centre.
+    A hub may have any number of pairs, its partner only one for each band: the
+    partner's set joins on its id, and the hub's is copied to the few PARTS
+    where it has partners.  ``sets`` lie in buckets of their ids and stay there.
+    """
+    spoke = F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a"))
+    ways = pairs.select("a", "b", "hub", spoke.alias("spoke")).withColumn(
+        "part", F.pmod(F.xxhash64("spoke"), F.lit(PARTS)))
+    left = ways.select("hub", "part").distinct().hint("merge").join(
+        sets.select(F.col("id").alias("hub"), F.col("shingles").alias("left")), "hub")
+    right = ways.hint("merge").join(sets.select(F.col("id").alias("spoke"), F.col("shingles").alias("right")), "spoke")
     small, large = F.least(F.size("left"), F.size("right")), F.greatest(F.size("left"), F.size("right"))
-    both = (pairs.join(left, "a").join(right, "b").where(100 * small >= percent * large)
+    both = (right.hint("merge").join(left, ["hub", "part"]).where(100 * small >= percent * large)
             .select("a", "b", "left", "right"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +128,7 @@ def still_split(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stars(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Candidate pairs of one round: in each bucket, its centre with each member of another component.
+    """Candidate pairs (a, b, hub) of one round: in each bucket, its centre with each member of another component.
 
     Sets whose sizes alone rule a link out are no candidates.
 
@@ -130,7 +141,8 @@ def stars(members: DataFrame, turn: int, percent: int) -> DataFrame:
         "key", "c.centre", "c.at", "c.m")
     possible = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     return (members.join(centres, "key").where(F.col("component") != F.col("at")).where(possible)
-            .select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct())
+            .groupBy(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b"))
+            .agg(F.min("centre").alias("hub")))
 
 
 def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -169,7 +181,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "low < high").select("key")
     members = keep(entries.join(crowded, "key").distinct().withColumn("component", F.col("id")), "members")
     live = members.select("id").distinct()
-    sets = keep(full_sets(docs.join(live, "id"), words), "sets")
+    # as many candidates as the corpus has: never broadcast, at no size
+    in_buckets = keep_by_key(full_sets(docs.join(live.hint("merge"), "id"), words), "sets", "id")
+    sets = spark.table(in_buckets)
 
     tested = labels = None
     turn = 0
@@ -180,7 +194,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             members = rest
         pairs = stars(members, turn, percent)
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
         fresh = keep(confirmed(pairs, sets, percent), "links")
         if fresh.isEmpty():
@@ -188,7 +202,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = keep(merged(labels, fresh), "labels")
         turn += 1
-    forget(spark, members, sets)
+    forget(spark, members)
+    forget_table(spark, in_buckets)
     by_rep = classes
     if labels is not None:
         by_rep = classes.join(labels, classes["rep"] == labels["node"], "left").select(

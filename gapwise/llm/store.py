@@ -6,6 +6,7 @@ re-run of what came before.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +23,27 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_by_key(df: DataFrame, name: str, key: str) -> str:
+    """Write ``df`` below the shared folder in buckets of ``key``; the name of the table.
+
+    Joins on the key then shuffle the other side alone, however often they
+    read the table.  Give the name to :func:`forget_table` in the end.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (df.write.format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", scratch_path(spark, name)).saveAsTable(table))
+    return table
+
+
+def forget_table(spark: SparkSession, table: str) -> None:
+    """Delete a table made by :func:`keep_by_key`, files included."""
+    rows = spark.table(table)
+    forget(spark, rows)
+    spark.sql(f"drop table if exists {table}")
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by :func:`keep` that nothing reads any more."""
     for table in tables:
