@@ -130,6 +130,7 @@ class StreamingViterbi:
                     fit = fits.get((before[1], piece))
                     if fit or fit is None and self.follows(before[1], piece):
                         best = (j, piece, 0.0)
+                        break  # no other last piece is valid
             if ends[i - 1] is not None and tails.get(text[i - 1], -1) < 0:
                 score = ends[i - 1][2] + self.v.least_score - UNKNOWN_PENALTY
                 if best is None or score > best[2]:
