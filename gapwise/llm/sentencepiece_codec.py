@@ -286,7 +286,7 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", te
         for batch in slices(batches, 1, 8 << 20):
             texts = batch.column(1).to_pylist()
             ids = coder.id_lists(texts)
-            flat, ends = ids.values.to_pylist(), ids.offsets.to_pylist()
+            flat, ends = ids.values.to_numpy().tolist(), ids.offsets.to_pylist()
             exact = [None if t is None else coder.decode(flat[a:b]) == t
                      for t, a, b in zip(texts, ends[:-1], ends[1:])]
             sizes = pa.array([b - a for a, b in zip(ends[:-1], ends[1:])], pa.int64())
