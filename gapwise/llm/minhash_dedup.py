@@ -8,7 +8,10 @@ with the probability of their Jaccard similarity, short texts included.  Bands
 of bins are bucket keys.  Inside a bucket only the edges to one centre are
 candidates, hence never more than its members; every candidate is confirmed on
 the full shingle sets.  Later rounds draw other centres for the buckets that
-still hold several components, until a round links nothing.
+still hold several components, until a round links nothing.  What is split then
+is finished exactly: each pair of a shared bucket is tested, in one component or
+ruled out by its sizes.  Small buckets list their pairs; large ones are cut into
+blocks, and a task compares two blocks and returns links alone.
 
 Texts with equal sets are one node from the start (grouped by a 128-bit digest
 of the set), so a group of copies costs one signature row.
@@ -20,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +36,8 @@ from gapwise.llm.words import mix, shingle_sets
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 PARTS = 64  #: tasks that the pairs of one centre are dealt to
+FEW = 16  #: members at most of a bucket whose open pairs are listed
+BLOCK = 256  #: members of a block of a larger bucket
 
 _EDGES = (np.arange(BINS, dtype=object) * (1 << 64) // BINS).astype(np.uint64)
 _ORDER = np.argsort(np.argsort(mix(
@@ -145,6 +151,72 @@ def stars(members: DataFrame, turn: int, percent: int) -> DataFrame:
             .agg(F.min("centre").alias("hub")))
 
 
+def open_pairs(few: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """(a, b, hub) of small buckets: the pairs of two components that no round has compared."""
+    left = few.select("key", F.col("id").alias("a"), F.col("n").alias("x"), F.col("component").alias("of_a"))
+    right = few.select("key", F.col("id").alias("b"), F.col("n").alias("y"), F.col("component").alias("of_b"))
+    pairs = left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("of_a") != F.col("of_b")) & (
+        100 * F.least("x", "y") >= percent * F.greatest("x", "y")))
+    return pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti").withColumn(
+        "hub", F.col("a"))
+
+
+def candidates(key: int, low: int, high: int, block: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Ids of two blocks (or of one) with the lesser ids that they must be compared to here.
+
+    A pair belongs to the first bucket that both share, so that one bucket compares it.
+    """
+    block = block.sort_values("id", kind="stable")
+    ids, sizes, parts = (block[c].to_numpy() for c in ("id", "n", "component"))
+    keys = np.stack(block["keys"].to_list())
+    apart = parts[:, None] != parts[None, :]
+    apart &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+    if low != high:
+        side = block["block"].to_numpy() == low
+        apart &= side[:, None] != side[None, :]
+    for band in range(int(np.flatnonzero(keys[0] == key)[0])):
+        apart &= keys[:, None, band] != keys[None, :, band]
+    some = np.flatnonzero(apart.any(1))
+    return pd.DataFrame({"key": key, "low": low, "high": high, "id": ids[some],
+                         "others": pd.Series([ids[np.flatnonzero(apart[i, :i])] for i in some], dtype=object)})
+
+
+def block_links(block: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The links (a, b) between ids and their ``others``, on full sets."""
+    ids, sets = block["id"].to_numpy(), block["shingles"].to_list()
+    sizes = np.array([len(s) for s in sets], np.int64)
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    place = dict(zip(ids.tolist(), range(len(ids))))
+    a, b, mark = [], [], np.zeros(len(names), bool)
+    for i, others in enumerate(block["others"]):
+        if len(others):
+            own = flat[ends[i] - sizes[i]:ends[i]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[flat], ends - sizes, dtype=np.int64)
+            mark[own] = False
+            at = np.array([place[o] for o in others.tolist()])
+            linked = at[100 * shared[at] >= percent * (sizes[i] + sizes[at] - shared[at])]
+            a += [ids[i]] * len(linked)
+            b += ids[linked].tolist()
+    return pd.DataFrame({"a": a, "b": b}).astype("int64")
+
+
+def block_pairs(many: DataFrame, keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components inside the larger buckets ``many`` (key, id, n, component, m)."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    cut = many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    paired = (cut.join(keys.hint("merge"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                      "block", "id", "n", "component", "keys"))
+    group = ["key", "low", "high"]
+    wanted = keep(paired.groupBy(*group).applyInPandas(
+        lambda at, frame: candidates(int(at[0]), int(at[1]), int(at[2]), frame, percent),
+        "key long, low int, high int, id long, others array<long>"), "wanted")
+    return wanted.hint("merge").join(sets, "id").groupBy(*group).applyInPandas(
+        lambda frame: block_links(frame, percent), "a long, b long")
+
+
 def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, component) after new ``links`` (a, b) between components."""
     if labels is None:
@@ -197,11 +269,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
         fresh = keep(confirmed(pairs, sets, percent), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         if fresh.isEmpty():
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
         labels = keep(merged(labels, fresh), "labels")
         turn += 1
+    # the one pair of a bucket of two has been its star
+    left = keep(members.join(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 2"), "key"), "split")
+    last = keep(confirmed(keep(open_pairs(left.where(F.col("m") <= FEW), tested, percent), "pairs"), sets, percent)
+                .unionByName(block_pairs(left.where(F.col("m") > FEW), reps.select("id", "keys"), sets, percent)), "links")
+    if not last.isEmpty():
+        labels = keep(merged(labels, last), "labels")
     forget(spark, members)
     forget_table(spark, in_buckets)
     by_rep = classes

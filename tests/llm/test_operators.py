@@ -81,6 +81,28 @@ def test_near_duplicates_equal_all_pairs(spark, words):
     assert all(got[i]["n_shingles"] == len(s) and got[i]["kept"] == (want[i] == i) for i, s in sets.items())
 
 
+@pytest.mark.parametrize("few", [16, 2])
+def test_split_buckets_are_finished(spark, monkeypatch, few):
+    # one band of one bin, and every text begins with the centre of all buckets: no star links anything
+    monkeypatch.setattr(minhash_dedup, "FEW", few)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
+    monkeypatch.setattr(minhash_dedup, "band_keys", lambda values: np.arange(32, dtype=np.int64))
+    common = [f"c{i}" for i in range(60)]
+    own = [[f"x{i}_{j}" for j in range(40)] for i in range(5)]
+    texts = [common] + [common + o for o in own] + [common + o[:-1] + ["z"] for o in own]
+    df = docs(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)])
+    # the draws of the centres never name a text that has a copy
+    monkeypatch.setattr(minhash_dedup, "stars", _hub_stars)
+    got = {r["id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df, words=1).collect()}
+    assert got == {0: 0} | {i: (i - 1) % 5 + 1 for i in range(1, 11)}
+
+
+def _hub_stars(members, turn, percent):
+    """Stars whose centre is always text 0."""
+    return members.where("id > 0").select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"),
+                                          F.lit(0).cast("long").alias("hub")).distinct()
+
+
 def test_near_vectors_equal_all_pairs(spark):
     rng = np.random.default_rng(5)
     x = np.repeat(rng.standard_normal((40, 16)), 5, axis=0)
