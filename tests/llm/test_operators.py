@@ -196,6 +196,23 @@ def test_repeated_passage_goes_and_the_rest_stays(spark):
     assert len(got[2]["text"].split()) == 160 - got[2]["n_removed"]
 
 
+def test_phrases_of_several_documents_are_no_passage(spark):
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    text = words(200)
+    starts, _, _ = substring_dedup.chunks(text.encode())
+    pieces = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])][:-1]
+    pieces = [piece for piece in pieces if len(piece.split()) < 16]
+    text = "".join(pieces).strip()
+    # every chunk of the last text stands earlier, but no two neighbours together
+    rows = [(i, f"{piece}{words(80)}", "s") for i, piece in enumerate(pieces)]
+    rows += [(500, text, "s"), (501, " ".join(text.split()[40:140]), "s"), (501, words(150), "s")]
+    rest = [(r["id"], r["text"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()]
+    got = {(i, t): n for i, t, n in rest}
+    assert got[500, text] == 0 and got[501, rows[-1][1]] == 0
+    assert max(n for (i, _), n in got.items() if i == 501) > 60
+
+
 def test_mixture_meets_its_targets(spark):
     rng = np.random.default_rng(9)
     rows = [(i, "w " * int(rng.integers(0, 90)), s) for i, s in enumerate(rng.choice(["a", "b", "c"], 900, p=[.8, .15, .05]))]
