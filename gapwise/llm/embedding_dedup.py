@@ -1,10 +1,10 @@
-"""Near-duplicate vectors: an inverted multi-index, visited to a target recall, then verified.
+"""Near-duplicate vectors: an inverted multi-index, visited as far as a link can reach, then verified.
 
 The two halves of the unit vectors have codebooks of their own; a pair of codes
 is a cell of the product grid.  Near vectors lie in one cell or on both sides of
 a border, so each vector also visits foreign cells: in order of the distance to
-their borders, half by half, until no further cell can hold more than
-``1 - recall`` of its links.  Cells are cut into blocks of bounded size and the
+their borders, half by half, until one of any two linked vectors has surely met
+the other at home.  Cells are cut into blocks of bounded size and the
 pairs of blocks verified by one matrix product each; what leaves a task is a sum
 of links and a spanning forest, never the pairs.
 
@@ -14,7 +14,6 @@ Equal vectors are collapsed first and carried as a weight.
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,6 @@ SAMPLE = 8192  #: vectors at most that the codebooks are fitted on
 CELL_VECTORS = 2000  #: aimed at for each cell and label when the grid is chosen
 MOST_CODES = 256  #: of a half
 BLOCK = 1024  #: vectors of a block
-RECALL = 0.99999  #: chance at least that a link's border is inside the visited reach
 
 
 def codebook(sample: np.ndarray, codes: int, rounds: int = 8) -> np.ndarray:
@@ -67,14 +65,15 @@ def visits(unit: np.ndarray, books: tuple[np.ndarray, np.ndarray], reach: float)
     return out
 
 
-def reach_of(cosine: float, dims: int, recall: float) -> float:
-    """How far from a border a vector can lie and still be linked across it, to this recall.
+def reach_of(cosine: float) -> float:
+    """How far from a cell a vector must look so that no link is lost, whatever its direction.
 
-    Linked unit vectors differ by at most r = sqrt(2 - 2 cosine); along one
-    direction of ``dims`` that is a normal deviate of r / sqrt(dims).
+    Linked unit vectors differ by at most r = sqrt(2 - 2 cosine).  In each half
+    their distances to the border between their two codes add up to no more
+    than they differ there, so the squares of the two vectors' distances over
+    both halves add up to at most r * r, and the lesser one is within r / sqrt(2).
     """
-    r = math.sqrt(max(0.0, 2 - 2 * cosine))
-    return min(r, r / math.sqrt(dims) * NormalDist().inv_cdf(recall))
+    return math.sqrt(max(0.0, 1 - cosine)) + 1e-6
 
 
 def link_block(cell: int, same: bool, low: int, block: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -119,7 +118,7 @@ def link_block(cell: int, same: bool, low: int, block: pd.DataFrame, cosine: flo
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
-                 label_col: str = "label", cosine: float = 0.98, recall: float = RECALL) -> DataFrame:
+                 label_col: str = "label", cosine: float = 0.98) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null, their lengths are
@@ -140,7 +139,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         F.count("*"), F.countDistinct("label")).collect()}
     found = None
     for dims, (count, labels) in sorted(sizes.items()):
-        own = _links(nodes.where(F.col("dims") == dims), dims, count, labels, cosine, recall)
+        own = _links(nodes.where(F.col("dims") == dims), dims, count, labels, cosine)
         found = own if found is None else found.unionByName(own)
     alone = rows.select("id").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if found is not None:
@@ -158,7 +157,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     return alone.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(nodes: DataFrame, dims: int, count: int, labels: int, cosine: float, recall: float) -> DataFrame:
+def _links(nodes: DataFrame, dims: int, count: int, labels: int, cosine: float) -> DataFrame:
     """(a, b, links) of all vectors of one length; see :func:`link_block`."""
     codes = max(1, min(MOST_CODES, round(math.sqrt(count / max(1, labels) / CELL_VECTORS))))
     part = min(1.0, SAMPLE / count)
@@ -168,7 +167,7 @@ def _links(nodes: DataFrame, dims: int, count: int, labels: int, cosine: float,
     sample = sample / np.maximum(np.sqrt((sample ** 2).sum(1)), 1e-300)[:, None]
     half = dims // 2
     books = codebook(sample[:, :half], codes), codebook(sample[:, half:], codes)
-    reach = reach_of(cosine, dims, recall)
+    reach = reach_of(cosine)
 
     def place(frames):
         for frame in frames:

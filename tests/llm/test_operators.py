@@ -129,6 +129,16 @@ def test_grid_cells_lose_no_link(spark, monkeypatch):
     test_near_vectors_equal_all_pairs(spark)
 
 
+def test_links_along_one_direction_cross_borders(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL_VECTORS", 5)
+    x = np.zeros((240, 384))
+    x[:, 0], x[:, 1] = np.cos(np.linspace(0, 6, 240)), np.sin(np.linspace(0, 6, 240))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)],
+                               "vec_id long, embedding array<double>, label int")
+    got = {r["id"]: r["n_links"] for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == dict(enumerate(((x @ x.T >= 0.98).sum(1) - 1).tolist()))
+
+
 def test_nearest_equals_full_scan(spark, monkeypatch):
     monkeypatch.setattr(ann_search, "BLOCK", 64)
     rng = np.random.default_rng(6)
