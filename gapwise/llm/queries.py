@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapwise.llm import (
-    ann_search, embedding_dedup, html_extract, minhash_dedup, quality_filter, sentencepiece_codec,
-    source_mixing, substring_dedup, toxicity, url_filter,
+    ann_search, embedding_dedup, html_extract, minhash_dedup, quality_filter, run_detection,
+    sentencepiece_codec, source_mixing, substring_dedup, toxicity, url_filter,
 )
 from gapwise.llm.sql import MIX_SQL, NEAR_DUPLICATES_SQL, NEAR_VECTORS_SQL, NEAREST_SQL, URL_SQL
 
@@ -71,6 +71,30 @@ def near_documents(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, folder, "documents"), words=2).withColumnRenamed("id", "doc_id")
 
 
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of words; every text whose crc32(doc_id) ends in 0 first repeats its end periodically."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = F.filter(F.split("text", r"[ \t-\r]+"), lambda word: word != "")
+    placed = docs.select("doc_id", "text", "h", F.when(F.col("h") % 10 == 0, words).alias("words")).select(
+        "*", F.greatest(F.size("words"), F.lit(1)).alias("n"), F.floor(F.col("h") / 10).alias("g")).select(
+        "*", F.expr("cast(g % n as int)").alias("a")).select(
+        "*", F.expr("cast(1 + floor((n - a) / (3 + g % 8)) as int)").alias("p"))
+    rewritten = F.expr("concat(slice(words, 1, a), slice(flatten(array_repeat("
+                       "slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a))")
+    made = placed.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.size("words") > 0), F.array_join(rewritten, " "))
+                         .otherwise(F.col("text")).alias("text"))
+    runs = run_detection.find_runs(made)
+    first = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    longest = runs.select("id", "runs", "collapsed", first.alias("first"))
+    return longest.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("first.start")).alias("start"), F.col("first.length").alias("length"), (-F.col("first.period")).alias("period"),
+        F.expr("1000 * first.length div -first.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix_sources,
     "op2_nearest_vectors": nearest_vectors,
@@ -82,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": score_toxicity,
     "op9_substring_dedup": remove_repeats,
     "op10_near_documents": near_documents,
+    "op13_periodic_runs": periodic_runs,
 }
 ORACLE: dict[str, str] = {
     "op1_mix_sources": MIX_SQL,
