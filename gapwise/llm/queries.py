@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from gapwise.llm import (
     ann_search, embedding_dedup, html_extract, minhash_dedup, quality_filter, run_detection,
-    sentencepiece_codec, source_mixing, substring_dedup, toxicity, url_filter,
+    sentencepiece_codec, source_mixing, substring_dedup, token_alignment, toxicity, url_filter,
 )
 from gapwise.llm.sql import MIX_SQL, NEAR_DUPLICATES_SQL, NEAR_VECTORS_SQL, NEAREST_SQL, URL_SQL
 
 #: Where the vocabulary lies; any SentencePiece model file may be named instead.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: The byte-level tokenizer that ``op12_token_groups`` aligns it with.
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,6 +73,10 @@ def near_documents(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, folder, "documents"), words=2).withColumnRenamed("id", "doc_id")
 
 
+def token_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.align(_table(spark, folder, "documents"), BYTE_LEVEL, VOCABULARY).withColumnRenamed("id", "doc_id")
+
+
 def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of words; every text whose crc32(doc_id) ends in 0 first repeats its end periodically."""
     docs = _table(spark, folder, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": score_toxicity,
     "op9_substring_dedup": remove_repeats,
     "op10_near_documents": near_documents,
+    "op12_token_groups": token_groups,
     "op13_periodic_runs": periodic_runs,
 }
 ORACLE: dict[str, str] = {
