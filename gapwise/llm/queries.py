@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapwise.llm import (
-    ann_search, embedding_dedup, html_extract, minhash_dedup, quality_filter, run_detection,
+    ann_search, embedding_dedup, html_extract, language_id, minhash_dedup, quality_filter, run_detection,
     sentencepiece_codec, source_mixing, substring_dedup, token_alignment, toxicity, url_filter,
 )
 from gapwise.llm.sql import MIX_SQL, NEAR_DUPLICATES_SQL, NEAR_VECTORS_SQL, NEAREST_SQL, URL_SQL
@@ -73,6 +73,13 @@ def near_documents(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, folder, "documents"), words=2).withColumnRenamed("id", "doc_id")
 
 
+def predict_language(spark: SparkSession, folder: str) -> DataFrame:
+    def held_out(name):
+        return F.crc32(F.col(name).cast("string")) % 4 == 2
+    judged = language_id.identify(_table(spark, folder, "documents"), ~held_out("id"), keep_cols={"held_out": held_out("id")})
+    return judged.withColumnRenamed("id", "doc_id")
+
+
 def token_groups(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.align(_table(spark, folder, "documents"), BYTE_LEVEL, VOCABULARY).withColumnRenamed("id", "doc_id")
 
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": score_toxicity,
     "op9_substring_dedup": remove_repeats,
     "op10_near_documents": near_documents,
+    "op11_language": predict_language,
     "op12_token_groups": token_groups,
     "op13_periodic_runs": periodic_runs,
 }
