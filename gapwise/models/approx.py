@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.functions.linear import any_null, number, quoted, score_text
+from gapwise.models.blocks import Blocks
 from gapwise.models.linear_model import LinearModel
 from gapwise.models.moments import Moments, moments, moments_by
 from gapwise.models.newton import fit_many
@@ -143,74 +144,91 @@ def hinge_version_losses(df: DataFrame, key: str, features: Sequence[str], label
     return df.sparkSession.createDataFrame(rows, "version int, loss double")
 
 
+def lowest_of_cuts(heights: np.ndarray, slopes: np.ndarray, alpha: float, mix: np.ndarray,
+                   rounds: int = 4000) -> tuple[float, np.ndarray, np.ndarray]:
+    """(bound, w, mix) of min over w of alpha/2 |w|^2 + max over cuts of (height + slope.w).
+
+    Every mix of the cuts bounds the minimum from below; weight moves from the
+    worst cut in the mix to the best cut until the two agree.
+    """
+    w = -(mix @ slopes) / alpha
+    for _ in range(rounds):
+        reach = heights + slopes @ w
+        best, used = int(np.argmax(reach)), np.flatnonzero(mix)
+        worst = int(used[np.argmin(reach[used])])
+        spread = reach[best] - reach[worst]
+        if spread <= 1e-12 * max(1.0, abs(reach[best])):
+            break
+        way = slopes[best] - slopes[worst]
+        bend = way @ way / alpha
+        move = mix[worst] if bend == 0 else min(mix[worst], spread / bend)
+        mix[best] += move
+        mix[worst] -= move
+        w = w - move * way / alpha
+    w = -(mix @ slopes) / alpha
+    return float(mix @ heights - alpha / 2 * (w @ w)), w, mix
+
+
 def approx_svm(df: DataFrame, key: str, features: Sequence[str], label: str, bounds: Bounds,
                versions: int = 100, seed=0, alpha: float = 1.0, steps: int = 60,
-               rate: float = 0.5,
-               threshold: float | None = None) -> DataFrame:
-    """min over w of max over versions of (objective_v(w) - best_v).
-
-    objective_v(w) = sum of hinge losses + alpha/2 |w|^2.  All per-version
-    optima are fitted together; the minimax steps follow the sub-gradient of the
-    currently worst version.
+               tolerance: float = 1e-3, threshold: float | None = None) -> DataFrame:
+    """min over w of max over versions of (objective_v(w) - best_v), with a bound from below.
+
+    objective_v(w) = sum of hinge losses + alpha/2 |w|^2.  Complete rows are
+    packed once and train every version; only incomplete rows are multiplied.
+    All per-version optima are fitted together.  A pass over the rows gives a
+    plane below each version's loss at w; the next w is the minimum over all
+    planes so far, and that minimum is a bound that no w can beat.  Steps end
+    when the best regret found is within ``tolerance`` (relative) of it.
     """
-    d = len(features)
     gap = any_null(list(bounds))
     columns = [*features, label]
     n = df.count()
-    repaired = extreme_versions(df, key, bounds, versions, seed).select("version", *columns)
-    everything = (df.filter(~gap).select(*columns)
-                  .withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(versions - 1))))
-                  .unionByName(repaired))
-    models = fit_many(everything, "version", versions, features, label, alpha / n,
-                      intercept=False)
-    table = (df.filter(~gap).select(F.lit(None).cast("int").alias("version"), *columns)
-             .unionByName(repaired)).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def objective(weights):
-        rows = {r[0]: np.array(r[1:], float)
-                for r in _hinge_sums(table, features, label, weights).collect()}
-        zero = np.zeros(d + 1)
-        shared = rows.get(None, zero)
-        sums = np.array([shared + rows.get(v, zero) for v in range(versions)])
-        w = np.array(weights)
-        return sums[:, 0] + alpha / 2 * w @ w, sums[:, 1:] + alpha * w
+    rows = (df.filter(~gap).select(F.lit(None).cast("int").alias("version"), *columns)
+            .unionByName(extreme_versions(df, key, bounds, versions, seed).select("version", *columns)))
+    trains = [F.col("version").isNull() | (F.col("version") == v) for v in range(versions)]
+    models = fit_many(rows, trains, features, label, alpha / n, intercept=False)
+    blocks, d = Blocks(rows, features, label, trains), len(features)
+
+    def planes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of hinge losses, and its slope, of version v at row v of ``points``."""
+        def part(x, y, member):
+            short = 1 - y[:, None] * (x @ points.T)
+            inside = member & (short > 0)
+            slope = np.where(inside, -y[:, None], 0.0)
+            return np.concatenate([np.where(inside, short, 0).sum(0), (slope.T @ x).ravel()])
+        found = blocks.total(part, versions * (d + 1))
+        return found[:versions], found[versions:].reshape(versions, d)
 
     try:
-        best = objective_at_own(everything, features, label, models, alpha)
-        w = np.mean([m.weights for m in models], axis=0)
-        best_regret, best_w = np.inf, w
-        for step in range(steps):
-            losses, slopes = objective(w)
-            best = np.minimum(best, losses)  # fitted optima are upper bounds
-            regrets = losses - best
-            worst = int(np.argmax(regrets))
-            if regrets[worst] < best_regret:
-                best_regret, best_w = float(regrets[worst]), w
-            w = w - rate / np.sqrt(step + 1.0) * slopes[worst] / n
+        own = np.array([m.weights for m in models])
+        best = planes(own)[0] + alpha / 2 * (own * own).sum(axis=1)
+        w, bound, mix = own.mean(axis=0), -np.inf, np.zeros(0)
+        best_regret, best_w, heights, slopes = np.inf, w, np.zeros(0), np.zeros((0, d))
+        for _ in range(steps):
+            losses, slope = planes(np.tile(w, (versions, 1)))
+            better = np.minimum(best, losses + alpha / 2 * w @ w)  # fitted optima are upper bounds
+            heights, best = heights + np.tile(best - better, len(heights) // versions), better
+            regret = float(np.max(losses + alpha / 2 * w @ w - best))
+            if regret < best_regret:
+                best_regret, best_w = regret, w
+            heights = np.append(heights, losses - slope @ w - best)
+            slopes = np.vstack([slopes, slope])
+            mix = np.append(mix, np.zeros(versions))
+            if not mix.any():
+                mix[int(np.argmax(heights))] = 1.0
+            bound, w, mix = lowest_of_cuts(heights, slopes, alpha, mix)
+            if best_regret - bound <= tolerance * max(abs(best_regret), 1e-9 * n):
+                break
     finally:
-        table.unpersist()
+        blocks.close()
     ok = None if threshold is None else best_regret <= threshold
     return df.sparkSession.createDataFrame(
-        [(versions, best_regret, ok, [float(v) for v in best_w])],
-        "versions int, max_regret double, is_approximately_certain boolean, "
+        [(versions, best_regret, bound, ok, [float(v) for v in best_w])],
+        "versions int, max_regret double, lower_bound double, is_approximately_certain boolean, "
         "weights array<double>")
 
 
-def objective_at_own(everything: DataFrame, features, label, models: list[LinearModel],
-                     alpha: float) -> np.ndarray:
-    """Objective of every version at its own fitted weights, in one grouped aggregate."""
-    score = " + ".join(
-        f"{quoted(f)} * array({', '.join(number(m.weights[j]) for m in models)})[version]"
-        for j, f in enumerate(features))
-    rows = (everything.selectExpr("version",
-                                  f"greatest(0D, 1D - {quoted(label)} * ({score})) AS loss_")
-            .groupBy("version").agg(F.sum("loss_")).collect())
-    sums = np.zeros(len(models))
-    for version, loss in rows:
-        sums[version] = loss
-    return sums + np.array([alpha / 2 * sum(w * w for w in m.weights) for m in models])
-
-
 def worst_case_descent(df: DataFrame, features: Sequence[str], label: str, bounds: Bounds,
                        steps: int = 1000, rate: float = 0.1, tolerance: float = 1e-5):
     """(model, worst-case mean squared error) by gradient steps on the worst repair.

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.functions.linear import any_null, any_null_text, number, quoted
@@ -179,10 +179,14 @@ def check_cubic_given(df: DataFrame, features: Sequence[str], label: str, model:
     A complete row is a support vector iff y f <= 1; support vectors must be 0 in
     every incomplete column, and incomplete rows (gaps as 0) correct with |f| > 1.
     """
-    margin = f"{quoted(label)} * {cubic_score(model, features, gamma)}"
+    margin = F.expr(f"{quoted(label)} * {cubic_score(model, features, gamma)}")
+    return _cubic_conditions(df, margin, gaps, support_tol)
+
+
+def _cubic_conditions(df: DataFrame, margin: Column, gaps: Sequence[str], support_tol: float) -> DataFrame:
     nonzero = " OR ".join(f"{quoted(c)} <> 0D" for c in gaps) or "false"
-    rows = df.selectExpr(f"{margin} AS margin_", f"{any_null_text(gaps)} AS gap_",
-                         f"({nonzero}) AS nonzero_")
+    rows = df.select(margin.alias("margin_"), F.expr(any_null_text(gaps)).alias("gap_"),
+                     F.expr(f"({nonzero})").alias("nonzero_"))
     support = f"NOT gap_ AND margin_ <= {number(1.0 + support_tol)}"
     return rows.selectExpr(
         f"count_if({support}) AS n_support",
@@ -192,12 +196,12 @@ def check_cubic_given(df: DataFrame, features: Sequence[str], label: str, model:
                  & F.coalesce(F.col("min_margin") > 1.0, F.lit(True)))
 
 
-def check_cubic_svm(df: DataFrame, features: Sequence[str], label: str,
+def check_cubic_svm(df: DataFrame, features: Sequence[str], label: str, support_tol: float = 1e-6,
                     **options) -> DataFrame:
-    """Certain cubic-kernel SVM, fitted on the complete rows."""
+    """Certain cubic-kernel SVM, fitted on the complete rows, at any number of features."""
     gaps = _gaps_of_labelled(df, features, label)
-    model, gamma = fit_cubic_svm(df.filter(~any_null(gaps)), features, label, **options)
-    return check_cubic_given(df, features, label, model, gamma, gaps)
+    model, _ = fit_cubic_svm(df.filter(~any_null(gaps)), features, label, **options)
+    return _cubic_conditions(df, F.col(label) * model.score(), gaps, support_tol)
 
 
 def certain_score_regression(train: DataFrame, test: DataFrame, features: Sequence[str],

@@ -2,9 +2,10 @@
 
 The hinge is replaced by a quadratic on a zone of width h below margin 1, which
 changes the mean loss by at most h / 2, and h shrinks in stages.  Loss, gradient
-and curvature come from the same aggregate, so a model needs a few tens of scans
+and curvature come from the same pass, so a model needs a few tens of scans
 where sub-gradient steps need hundreds.  Many models (repair versions,
-corruption seeds) share every scan through a grouped aggregate.
+corruption seeds) share the packed rows and every pass; objective, steps and
+stopping rule are the same at every width.
 """
 
 from __future__ import annotations
@@ -12,13 +13,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
-from gapwise.functions.linear import number, quoted
+from gapwise.models.blocks import Blocks
 from gapwise.models.linear_model import LinearModel
-from gapwise.models.moments import NARROW
 
 WIDTHS = (2.0, 0.4, 0.08, 0.016, 0.003)
 STAGE_STEPS = 12
@@ -30,8 +28,8 @@ DAMPING = 1e-9
 class _Fit:
     """Driver-side state of one model: accepted point, trial point, stage."""
 
-    def __init__(self, d: int, l2: float, intercept: bool):
-        self.d, self.l2, self.intercept = d, l2, intercept
+    def __init__(self, d: int, l2: float, intercept: bool, number: int = 0):
+        self.d, self.l2, self.intercept, self.number = d, l2, intercept, number
         self.at = self.trial = np.zeros(d + 1)
         self.value = np.inf
         self.step = np.zeros(d + 1)
@@ -82,73 +80,57 @@ class _Fit:
             self._propose()
 
 
-def _sums(rows: DataFrame, model: str | None, features, label, fits: list[_Fit]):
-    """{model: (n, loss, slope vector, curvature matrix)} in one aggregate."""
-    d = len(features)
-
-    def value_of(values):
-        if model is None:
-            return number(values[0])
-        return f"array({', '.join(number(v) for v in values)})[{quoted(model)}]"
-
-    terms = [f"{quoted(f)} * {value_of([t.trial[j] for t in fits])}"
-             for j, f in enumerate(features)] + [value_of([t.trial[d] for t in fits])]
-    y = quoted(label)
-    key = [] if model is None else [quoted(model)]
-    cells = [quoted(f) for f in features]
-    width = value_of([t.width for t in fits])
-    inner = (rows.selectExpr(*key, *cells, f"{y} AS y_",
-                             f"1D - {y} * ({' + '.join(terms)}) AS v_", f"{width} AS h_")
-             .selectExpr(*key, *cells,
-                         "CASE WHEN v_ <= 0D THEN 0D WHEN v_ < h_ THEN v_ * v_ / (2D * h_) "
-                         "ELSE v_ - h_ / 2D END AS loss_",
-                         "CASE WHEN v_ <= 0D THEN 0D ELSE -y_ * least(1D, v_ / h_) END AS s_",
-                         "CASE WHEN v_ > 0D AND v_ < h_ THEN 1D / h_ ELSE 0D END AS c_"))
-    cells = cells + ["1D"]
-    pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
-    texts = ["count(*)", "sum(loss_)", *[f"sum(s_ * {c})" for c in cells],
-             *[f"sum(c_ * {cells[i]} * {cells[j]})" for i, j in pairs]]
-    if model is None:
-        found = [(0, *inner.selectExpr(*texts).collect()[0])]
-    else:
-        found = [tuple(r) for r in inner.groupBy(model).agg(*[F.expr(t) for t in texts]).collect()]
-    out = {}
-    for r in found:
-        if not r[1]:
-            continue
-        curve = np.zeros((d + 1, d + 1))
-        for (i, j), v in zip(pairs, r[4 + d:]):
-            curve[i, j] = curve[j, i] = v
-        out[r[0]] = (r[1], float(r[2]), np.array(r[3:4 + d], float), curve)
-    return out
-
-
-def fit_many(df: DataFrame, model: str | None, models: int, features: Sequence[str], label: str,
+def _sums(blocks: Blocks, fits: list[_Fit]) -> list[tuple]:
+    """(n, loss, slope vector, curvature matrix) of every fit at its trial point, in one pass."""
+    size, many = blocks.width + 1, len(fits)
+    points, widths = np.column_stack([f.trial for f in fits]), np.array([f.width for f in fits])
+    numbers = [f.number for f in fits]
+    length = 2 + size + size * size
+
+    def part(x: np.ndarray, y: np.ndarray, member: np.ndarray) -> np.ndarray:
+        cells = np.column_stack([x, np.ones(len(y))])
+        short = 1 - y[:, None] * (cells @ points)
+        inside = member[:, numbers] if member.shape[1] else np.ones((len(y), 1), bool)
+        zone = (short > 0) & inside
+        loss = np.where(short < widths, short * short / (2 * widths), short - widths / 2)
+        slope = np.where(zone, -y[:, None] * np.minimum(1, short / widths), 0)
+        out = np.empty((many, length))
+        out[:, 0], out[:, 1] = inside.sum(0), np.where(zone, loss, 0).sum(0)
+        out[:, 2:2 + size] = slope.T @ cells
+        for m in range(many):
+            bent = cells[zone[:, m] & (short[:, m] < widths[m])]
+            out[m, 2 + size:] = (bent.T @ bent / widths[m]).ravel()
+        return out.ravel()
+    found = blocks.total(part, many * length).reshape(many, length)
+    return [(int(r[0]), r[1], r[2:2 + size], r[2 + size:].reshape(size, size)) for r in found]
+
+
+def fit_many(df: DataFrame, members: Sequence[Column], features: Sequence[str], label: str,
              l2: float, intercept: bool = True) -> list[LinearModel]:
-    """Fit ``models`` learners; column ``model`` of ``df`` says which one a row trains."""
-    if len(features) > NARROW:
-        raise ValueError(f"the Newton solver takes at most {NARROW} features")
-    columns = ([quoted(model)] if model else []) + [
-        f"cast({quoted(c)} AS double) AS {quoted(c)}" for c in (*features, label)]
-    kept = rows = df.selectExpr(*columns).persist(StorageLevel.MEMORY_AND_DISK)
-    fits = [_Fit(len(features), l2, intercept) for _ in range(models)]
-    scans, n = 0, {}
+    """Fit a learner for each of ``members``, the predicates that say which rows train it.
+
+    Without predicates all rows train one learner.  The table is packed once
+    and never copied; a pass serves all learners that are not done.  The
+    curvature takes (features + 1) squared numbers for each learner and task.
+    """
+    blocks = Blocks(df, features, label, members)
+    fits = [_Fit(len(features), l2, intercept, i) for i in range(max(1, len(members)))]
+    scans, n = 0, [0] * len(fits)
     try:
-        while not all(f.done for f in fits):
-            sums = _sums(rows, model, features, label, fits)
+        while live := [f for f in fits if not f.done]:
             scans += 1
-            for i, fit in enumerate(fits):
-                if i not in sums:
+            for fit, sums in zip(live, _sums(blocks, live)):
+                n[fit.number] = sums[0]
+                if sums[0]:
+                    fit.receive(*sums)
+                else:
                     fit.stage = len(WIDTHS)
-                elif not fit.done:
-                    n[i] = sums[i][0]
-                    fit.receive(*sums[i])
     finally:
-        kept.unpersist()
+        blocks.close()
     return [LinearModel(tuple(features), tuple(float(v) for v in f.at[:-1]), float(f.at[-1]),
-                        {"scans": scans, "n": n.get(i, 0)}) for i, f in enumerate(fits)]
+                        {"scans": scans, "n": n[f.number]}) for f in fits]
 
 
 def fit_one(df: DataFrame, features: Sequence[str], label: str, l2: float,
             intercept: bool = True) -> LinearModel:
-    return fit_many(df, None, 1, features, label, l2, intercept)[0]
+    return fit_many(df, (), features, label, l2, intercept)[0]

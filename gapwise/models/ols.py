@@ -1,4 +1,4 @@
-"""Least squares: one scan for the moments, a d x d solve on the driver."""
+"""Least squares by a tree of QR steps: one scan, no squared condition number."""
 
 from __future__ import annotations
 
@@ -7,24 +7,28 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 
-from gapwise.models.descent import slope_sums
+from gapwise.models.blocks import triangular
 from gapwise.models.linear_model import LinearModel
-from gapwise.models.moments import moments, solve_normal
-
-
-def fit_ols(df: DataFrame, features: Sequence[str], label: str, intercept: bool = False,
-            refine: bool = False) -> LinearModel:
-    """``refine`` spends one more scan to correct the solution by its own residuals."""
-    m = moments(df, features, label, intercept)
-    if any(m.nulls):
-        raise ValueError("features must be complete")
-    weights = m.solve()
-    if refine:
-        d = len(features)
-        _, grad, total = slope_sums(df, features, label, weights[:d],
-                                    weights[d] if intercept else 0.0, "squared")
-        residual = np.append(grad, total) if intercept else np.array(grad)
-        weights = weights - solve_normal(m.gram, residual)
+
+
+def solve_triangular(r: np.ndarray) -> np.ndarray:
+    """Least squares from the triangle of [X, y]; columns are brought to unit length first.
+
+    Rank-deficient systems get the minimum-norm solution in scaled coordinates.
+    """
+    a, y = r[:, :-1], r[:, -1]
+    length = np.linalg.norm(a, axis=0)
+    length[length == 0] = 1.0
+    return np.linalg.lstsq(a / length, y, rcond=1e-14)[0] / length
+
+
+def fit_ols(df: DataFrame, features: Sequence[str], label: str, intercept: bool = False) -> LinearModel:
+    """Least squares over complete rows; a missing cell or label is an error."""
+    n, r = triangular(df, features, label, intercept)
+    if np.isnan(r).any():
+        raise ValueError("features and label must be complete")
+    weights = solve_triangular(r)
+    left = r[:, -1] - r[:, :-1] @ weights
     bias = float(weights[-1]) if intercept else 0.0
     return LinearModel(tuple(features), tuple(float(w) for w in weights[:len(features)]), bias,
-                       {"n": m.n, "sse": m.squared_error(weights)})
+                       {"n": n, "sse": float(left @ left)})

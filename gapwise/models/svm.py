@@ -13,29 +13,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.functions.linear import number, quoted, sum_text
+from gapwise.models import conjugate
 from gapwise.models.descent import descend
 from gapwise.models.linear_model import LinearModel
-from gapwise.models.moments import NARROW
 from gapwise.models.newton import fit_one
 
 MAX_CUBIC_FEATURES = 40
 
 
 def fit_svm(df: DataFrame, features: Sequence[str], label: str, l2: float = 1e-4,
-            steps: int = 100, rate: float = 0.5, solver: str = "auto") -> LinearModel:
+            steps: int = 100, rate: float = 0.5, solver: str = "newton") -> LinearModel:
     """min mean hinge + l2/2 |w|^2 over complete rows with labels -1 and +1.
 
-    ``newton`` (the choice for narrow tables) converges in a few tens of scans;
-    ``mllib`` (the choice for wide ones) hands the same objective to Spark's
-    quasi-Newton learner; ``steps`` is a fixed number of sub-gradient steps that
-    can be reproduced in SQL.
+    ``newton`` converges in a few tens of scans at every width; ``conjugate``
+    needs more scans but no squared number of features; ``mllib`` hands the same
+    objective to Spark's quasi-Newton learner; ``steps`` is a fixed number of
+    sub-gradient steps that can be reproduced in SQL.
     """
-    if solver == "auto":
-        solver = "newton" if len(features) <= NARROW else "mllib"
     if solver == "steps":
         return descend(df, features, label, "hinge", steps, rate, l2)
     if solver == "newton":
         return fit_one(df, features, label, l2)
+    if solver == "conjugate":
+        return conjugate.fit_linear(df, features, label, l2)
     if solver != "mllib":
         raise ValueError(f"unknown solver {solver}")
     ready = VectorAssembler(inputCols=list(features), outputCol="features_").transform(
@@ -98,14 +98,19 @@ def cubic_features(df: DataFrame, features: Sequence[str], gamma: float,
 
 
 def fit_cubic_svm(complete: DataFrame, features: Sequence[str], label: str, c: float = 1.0,
-                  l2: float | None = None, **options) -> tuple[LinearModel, float]:
-    """(linear model on the cubic features, gamma)."""
+                  l2: float | None = None, solver: str = "conjugate", **options):
+    """(model, gamma) of the kernel (gamma x.z)^3, at any number of features.
+
+    ``conjugate`` never makes the map's columns; any other solver of
+    :func:`fit_svm` works on the explicit map and its few features.
+    """
     gamma = kernel_width(complete, features)
+    l2 = 1.0 / (c * complete.count()) if l2 is None else l2
+    if solver == "conjugate":
+        return conjugate.fit_cubic(complete, features, label, gamma, l2, **options), gamma
     mapped = cubic_features(complete, features, gamma, keep=[label])
     names = [name for name, _ in cubic_terms(features, gamma)]
-    if l2 is None:
-        return fit_c_svm(mapped, names, label, c=c, **options), gamma
-    return fit_svm(mapped, names, label, l2=l2, **options), gamma
+    return fit_svm(mapped, names, label, l2=l2, solver=solver, **options), gamma
 
 
 def cubic_score(model: LinearModel, features: Sequence[str], gamma: float) -> str:

@@ -13,7 +13,6 @@ from gapwise.functions.linear import any_null, score_text
 from gapwise.models.active_clean import active_clean_runs, average_runs, prepare
 from gapwise.models.certain import (WEIGHT_TOLERANCE, certain_score_regression,
                                     certain_score_svm, check_linear)
-from gapwise.models.moments import NARROW
 from gapwise.models.newton import fit_many
 from gapwise.models.ols import fit_ols
 from gapwise.models.svm import fit_svm
@@ -37,23 +36,14 @@ def check_corruptions(df: DataFrame, key: str, features: Sequence[str], label: s
                       wtol: float = WEIGHT_TOLERANCE) -> list[dict]:
     """Corrupt the table with each seed and check the linear SVM, all seeds together.
 
-    (Wide tables are fitted seed by seed, each fit being several scans of its own.)
-
     A corruption is a predicate (which rows) and a column, never a copy of the
-    table.  Every training step and the final check serve all seeds in one
-    grouped aggregate.
+    table: a packed row carries one bit for each seed that leaves it whole, and
+    every training step and the final check serve all seeds in one pass.
     """
     cuts = hash_cutoffs(df, key, seeds, share_of(rate))
     columns = [pick_column(features, seed) for seed in seeds]
     hit = [c.covers() for c in cuts]
-    if len(features) > NARROW:
-        models = [fit_svm(df.filter(~h), features, label, l2=l2) for h in hit]
-    else:
-        kept = F.explode(F.filter(
-            F.array(*[F.when(~h, F.lit(i)) for i, h in enumerate(hit)]),
-            lambda m: m.isNotNull()))
-        training = df.select(kept.alias("model_"), *features, label)
-        models = fit_many(training, "model_", len(seeds), features, label, l2)
+    models = fit_many(df, [~h for h in hit], features, label, l2)
     margins = []
     for i, (model, column) in enumerate(zip(models, columns)):
         weights = [0.0 if f == column else w for f, w in zip(features, model.weights)]

@@ -258,8 +258,7 @@ def acm_svm(spark, folder):
     """Gaps in the informative x1, so no single model is optimal for all repairs."""
     df = fx.svm_gaps(spark, folder, "x1")
     bounds = repair_bounds(df, ["x1"])
-    return approx.approx_svm(df, "row_id", fx.SVM_FEATURES, "y", bounds, _VERSIONS, "acm",
-                             steps=30)
+    return approx.approx_svm(df, "row_id", fx.SVM_FEATURES, "y", bounds, seed="acm")
 
 
 _GD_STEPS = 30

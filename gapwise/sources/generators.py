@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.functions.hashing import driver_uniform, uniform
-from gapwise.models.svm import cubic_score, fit_cubic_svm
+from gapwise.models.svm import fit_cubic_svm
 from gapwise.operators.sample import blank_at_rate, sample_rows
 
 # Fixed values of the generated tables.
@@ -91,8 +91,8 @@ def kernel_table(ids: DataFrame, key: str, n_features: int, n_extra: int, seed,
         (F.lit(low) + F.lit(1.0 - low) * uniform(f"{seed}/base", key, F.lit(n))).alias(n)
         for n in names[1:]])
     base = mirrored(half, key, names, kept=["x0"]).drop(key)
-    model, gamma = fit_cubic_svm(base, names, "y")
-    score = cubic_score(model, names, gamma)
+    model, _ = fit_cubic_svm(base, names, "y")
+    score = model.score()
     draws = 1
     while True:  # more candidates per key until enough fall outside the margin
         many = ids.select(key, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
@@ -100,7 +100,7 @@ def kernel_table(ids: DataFrame, key: str, n_features: int, n_extra: int, seed,
             (-F.col(key) * draws - F.col("draw")).alias("row_id"), F.lit(0.0).alias("x0"),
             *[(F.lit(low) + F.lit(1.0 - low) * uniform(f"{seed}/extra", key, "draw", F.lit(n)))
               .alias(n) for n in names[1:]])
-            .withColumn("f", F.expr(score)).filter(F.abs("f") > 1.0))
+            .withColumn("f", score).filter(F.abs("f") > 1.0))
         found = candidates.count()
         if found >= n_extra:
             break

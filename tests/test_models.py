@@ -10,7 +10,7 @@ from gapwise.models.descent import descend
 from gapwise.models.moments import wide_moments
 from gapwise.models.newton import fit_many
 from gapwise.models.ols import fit_ols
-from gapwise.models.svm import cubic_score, cubic_terms, fit_cubic_svm, fit_svm
+from gapwise.models.svm import cubic_terms, fit_cubic_svm, fit_svm
 from gapwise.operators.profile import repair_bounds
 from gapwise.operators.sample import make_dirty
 from gapwise.plans import experiments
@@ -95,7 +95,7 @@ def test_many_models_equal_single_fits(spark):
     x = rng.normal(size=(300, 2))
     y = np.sign(x[:, 0] + 0.5 * rng.normal(size=300))
     df = frame(spark, x, y, key=True).withColumn("m", (F.col("id") % 3).cast("int"))
-    many = fit_many(df, "m", 3, ["x0", "x1"], "y", 1e-2)
+    many = fit_many(df, [F.col("m") == i for i in range(3)], ["x0", "x1"], "y", 1e-2)
     for i in range(3):
         one = fit_svm(df.filter(F.col("m") == i), ["x0", "x1"], "y", l2=1e-2)
         assert np.allclose(many[i].weights, one.weights, atol=1e-6)
@@ -249,8 +249,8 @@ def test_kernel_table_appends_rows_outside_the_margin(spark):
     extra = table.filter("x0 IS NULL")
     assert extra.count() == 12 and table.count() == 312
     names = ["x0", "x1", "x2"]
-    model, gamma = fit_cubic_svm(table.filter("x0 IS NOT NULL"), names, "y")
-    worst = extra.selectExpr(f"min(y * {cubic_score(model, names, gamma)}) AS m").collect()[0][0]
+    model, _ = fit_cubic_svm(table.filter("x0 IS NOT NULL"), names, "y")
+    worst = extra.agg(F.min(F.col("y") * model.score())).collect()[0][0]
     assert worst > 1
 
 
