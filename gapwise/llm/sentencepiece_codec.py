@@ -11,13 +11,17 @@ a path is valid when every two neighbours are what merging their joint text
 would give; exactly one path is, and the search finds it without merging the
 text (Neubeck and Nazarov, 2024).  Both give the ids of the model's own library.
 
+Where no piece goes on over a blank, the short segments between blanks of some
+megabytes of text are searched side by side (:mod:`gapwise.llm.viterbi_lanes`),
+each different one once; longer stretches are streamed.
+
 Vocabulary files are read where the session runs and travel with the tasks:
 their size is fixed (about 1 MB), not a function of the data.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -26,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gapwise.llm.store import bound_batches, only, slices
+from gapwise.llm.viterbi_lanes import Lanes
 
 SPACE = "▁"
 BPE, UNIGRAM = "bpe", "unigram"
-MEMO = 250_000  #: segments in each of the two generations that a worker remembers
+FITS = 200_000  #: pairs of pieces whose fit a worker remembers
+SHORT = 64  #: characters of a segment that is searched side by side with others
 UNKNOWN_PENALTY = 10.0
 
 
@@ -44,6 +50,9 @@ class Vocabulary:
         #: no piece goes on with a blank mark after another character: such places always part
         self.parts_at_blanks = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.least_score = min((scores[i] for i in pieces.values()), default=0.0)
+        #: what makes two vocabularies one and the same to a worker
+        self.name = hashlib.blake2b(repr((sorted(pieces.items()), scores, unknown, kind, prefix)).encode(),
+                                    digest_size=16).digest()
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -78,9 +87,10 @@ class StreamingViterbi:
         self.names = {i: p for p, i in vocabulary.pieces.items()}
         #: every end of a piece, with the piece's id where it is one itself
         self.tails = {p[k:]: -1 for p in vocabulary.pieces for k in range(len(p))} | vocabulary.pieces
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+        self.ids = len(vocabulary.scores)
+        self.lanes = Lanes(vocabulary.pieces, self.ids, self.longest, vocabulary.byte_ids, vocabulary.unknown,
+                           self.fitting) if self.bpe and vocabulary.parts_at_blanks and vocabulary.pieces else None
 
     def merged(self, text: str) -> list[int]:
         """What merging by rank makes of a short known text."""
@@ -99,17 +109,19 @@ class StreamingViterbi:
 
     def follows(self, before: int, piece: int) -> bool:
         """May ``piece`` stand after ``before`` (-1: a start or an unknown character)?"""
-        known = self.fits.get((before, piece))
+        key = before * self.ids + piece
+        known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 4 * MEMO:
+            if len(self.fits) >= FITS:
                 self.fits.clear()
-            if before < 0:
-                known = self.merged(self.names[piece]) == [piece]
-            else:
-                known = self.merged(self.names[before] + self.names[piece]) == [before, piece]
-            self.fits[before, piece] = known
+            known = self.fits[key] = self.fitting(before, piece)
         return known
 
+    def fitting(self, before: int, piece: int) -> bool:
+        if before < 0:
+            return self.merged(self.names[piece]) == [piece]
+        return self.merged(self.names[before] + self.names[piece]) == [before, piece]
+
     def advance(self, text: str, ends: list) -> None:
         """Find the survivor, (start, piece, score), of every further position of ``text``."""
         tails, fits, bpe, scores, longest = self.tails, self.fits, self.bpe, self.scores, self.longest
@@ -127,7 +139,7 @@ class StreamingViterbi:
                     if best is None or score >= best[2]:
                         best = (j, piece, score)
                 else:
-                    fit = fits.get((before[1], piece))
+                    fit = fits.get(before[1] * self.ids + piece)
                     if fit or fit is None and self.follows(before[1], piece):
                         best = (j, piece, 0.0)
                         break  # no other last piece is valid
@@ -176,46 +188,63 @@ class StreamingViterbi:
                     ends = [e and (e[0] - final, e[1], e[2]) for e in ends[final:]]
         yield from self.pieces_to(ends, text, len(text))
 
-    def segment(self, text: str) -> bytes:
-        """Ids of one segment as 32-bit numbers; short ones are remembered."""
-        known = self.memo.get(text)
-        if known is None:
-            known = self.older.get(text) or array("i", self.stream([text])).tobytes()
-            if len(text) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.older, self.memo = self.memo, {}
-                self.memo[text] = known
-        return known
-
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as 32-bit numbers.
+        """Ids of a whole text as 32-bit numbers, streamed.
 
         A literal blank mark is spelt in bytes, so that it never turns into a
         space: decoding gives back every text as it was.
         """
         if not text:
             return b""
-        out, mark = [], None
+        out, mark = array("i"), []
         for n, plain in enumerate(text.split(SPACE)):
             if n:
-                mark = mark or array("i", [self.v.byte_ids[b] for b in SPACE.encode()]
-                                     if self.v.byte_ids else [self.v.unknown]).tobytes()
-                out.append(mark)
+                mark = mark or ([self.v.byte_ids[b] for b in SPACE.encode()] if self.v.byte_ids else [self.v.unknown])
+                out.extend(mark)
             plain = plain.replace(" ", SPACE)
-            if n == 0 and self.v.prefix:
-                plain = SPACE + plain
-            if self.v.parts_at_blanks:
-                out.extend(map(self.segment, SEGMENTS.findall(plain)))
-            elif plain:
-                out.append(self.segment(plain))
-        return b"".join(out)
+            out.extend(self.stream([SPACE + plain if n == 0 and self.v.prefix else plain]))
+        return out.tobytes()
+
+    def row_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, ids of each), their short segments searched side by side.
+
+        Texts part where a blank mark follows another character.  A text with a
+        literal mark or a longer segment is streamed by itself.
+        """
+        joined = "".join([SPACE + t.replace(" ", SPACE) if self.v.prefix and t else t.replace(" ", SPACE) for t in texts])
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(t) + (1 if self.v.prefix and t else 0) for t in texts], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        blank = codes == ord(SPACE)
+        parts = np.append(True, blank[1:] & ~blank[:-1])[:len(codes)]
+        parts[bounds[:-1][sizes > 0]] = True
+        starts = np.flatnonzero(parts)
+        ends = np.append(starts[1:], len(codes))[:len(starts)]
+        owner = np.searchsorted(bounds, starts, "right") - 1
+        alone = np.array([SPACE in t for t in texts], bool)
+        alone[owner[ends - starts > SHORT]] = True
+        row = ~alone[owner]
+        tokens, each = self.lanes.encode(codes, starts[row], ends[row]) if row.any() else (np.zeros(0, np.int64),) * 2
+        counts = np.bincount(owner[row], each, minlength=len(texts)).astype(np.int64)
+        if alone.any():
+            begin = np.cumsum(counts) - counts
+            made, at = [], 0
+            for i in np.flatnonzero(alone).tolist():
+                own = np.frombuffer(self.encode(texts[i]), np.int32)
+                made += [tokens[at:begin[i]], own]
+                at, counts[i] = begin[i], len(own)
+            tokens = np.concatenate([*made, tokens[at:]])
+        return tokens.astype(np.int32), counts
 
     def id_lists(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of many texts; null for a null text."""
-        coded = [self.encode(t or "") for t in texts]
-        ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
-        values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))])
-        return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([t is None for t in texts]))
+        if self.lanes:
+            values, counts = self.row_of([t or "" for t in texts])
+        else:
+            coded = [self.encode(t or "") for t in texts]
+            values, counts = np.frombuffer(b"".join(coded), np.int32), [len(c) // 4 for c in coded]
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([t is None for t in texts], pa.bool_()))
 
     def decode(self, ids: Iterable[int]) -> str:
         texts = self.v.texts
@@ -225,17 +254,15 @@ class StreamingViterbi:
         return raw.decode("utf-8", "replace")
 
 
-SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_coders: dict[int, StreamingViterbi] = {}
+_coders: dict[bytes, StreamingViterbi] = {}
 
 
 def _coder(vocabulary: Vocabulary) -> StreamingViterbi:
-    """One coder for each worker, so that its memo outlives a batch."""
-    key = id(vocabulary)
-    if key not in _coders:
+    """One coder for each worker, so that what it remembers outlives a task."""
+    if vocabulary.name not in _coders:
         _coders.clear()
-        _coders[key] = StreamingViterbi(vocabulary)
-    return _coders[key]
+        _coders[vocabulary.name] = StreamingViterbi(vocabulary)
+    return _coders[vocabulary.name]
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +276,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary)
-        for batch in slices(batches, 1, 8 << 20):
+        for batch in slices(batches, 1, 2 << 20):
             ids = coder.id_lists(batch.column(1).to_pylist())
             sizes = pa.array(np.diff(ids.offsets.to_numpy()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, sizes], ["id", "ids", "n_tokens"])
@@ -263,7 +290,7 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, id_col: str = "id", ids_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary)
-        for batch in slices(batches, 1, 8 << 20):
+        for batch in slices(batches, 1, 2 << 20):
             lists = batch.column(1)
             flat, ends = lists.values.to_pylist(), lists.offsets.to_pylist()
             texts = [coder.decode(flat[a:b]) if lists[i].is_valid else None
@@ -283,7 +310,7 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary)
-        for batch in slices(batches, 1, 8 << 20):
+        for batch in slices(batches, 1, 2 << 20):
             texts = batch.column(1).to_pylist()
             ids = coder.id_lists(texts)
             flat, ends = ids.values.to_numpy().tolist(), ids.offsets.to_pylist()

@@ -91,3 +91,20 @@ def test_memory_of_pieces_is_bounded(spark, monkeypatch):
     keys = [f"w{i % 11}" for i in range(100)]
     assert [e[0] for e in aligner.entries(keys)] == [aligner.aligned([" " + k])[0][0] for k in keys]
     assert len(aligner.memo) <= 4 and len(aligner.older) <= 4
+
+
+def test_lanes_equal_streams_and_the_library(monkeypatch):
+    from gapwise.llm import sentencepiece_codec, viterbi_lanes
+    monkeypatch.setattr(viterbi_lanes, "LANES", 3)
+    monkeypatch.setattr(viterbi_lanes, "FITS", 5)
+    vocabulary = sentencepiece_codec.load_vocabulary(VOCABULARY)
+    coder, library = sentencepiece_codec.StreamingViterbi(vocabulary), SentencePieceProcessor(model_file=VOCABULARY)
+    texts = [t for t in ODD if t is not None] + ["a ▁ b▁", "x" * 63, "y" * 64 + " z", "é" * 70 + "\n\n q"]
+    made = coder.id_lists([*texts, None]).to_pylist()
+    assert made.pop() is None
+    for text, ids in zip(texts, made):
+        assert ids == memoryview(coder.encode(text)).cast("i").tolist()
+        assert coder.decode(ids) == text
+        if "▁" not in text:
+            assert ids == library.encode(text)
+    assert coder.id_lists([]).to_pylist() == [] and coder.id_lists(["", None]).to_pylist() == [[], None]
