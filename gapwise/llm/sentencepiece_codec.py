@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from gapwise.llm.viterbi_lanes import Lanes
 SPACE = "▁"
 BPE, UNIGRAM = "bpe", "unigram"
 FITS = 200_000  #: pairs of pieces whose fit a worker remembers
+SLICE, BATCH = 1 << 20, "4m"  #: bytes of text worked on at a time, and of an Arrow batch
 SHORT = 64  #: characters of a segment that is searched side by side with others
 UNKNOWN_PENALTY = 10.0
 
@@ -85,13 +87,16 @@ class StreamingViterbi:
         self.pieces, self.scores, self.longest = vocabulary.pieces, vocabulary.scores, vocabulary.longest
         self.bpe = vocabulary.kind == BPE
         self.names = {i: p for p, i in vocabulary.pieces.items()}
-        #: every end of a piece, with the piece's id where it is one itself
-        self.tails = {p[k:]: -1 for p in vocabulary.pieces for k in range(len(p))} | vocabulary.pieces
         self.fits: dict[int, bool] = {}
         self.ids = len(vocabulary.scores)
         self.lanes = Lanes(vocabulary.pieces, self.ids, self.longest, vocabulary.byte_ids, vocabulary.unknown,
                            self.fitting) if self.bpe and vocabulary.parts_at_blanks and vocabulary.pieces else None
 
+    @cached_property
+    def tails(self) -> dict[str, int]:
+        """Every end of a piece, with the piece's id where it is one itself; made when a text is streamed."""
+        return {p[k:]: -1 for p in self.pieces for k in range(len(p))} | self.pieces
+
     def merged(self, text: str) -> list[int]:
         """What merging by rank makes of a short known text."""
         parts = list(text)
@@ -271,12 +276,12 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
     A null text has null ids and no tokens, an empty text empty ids.  Repeated
     rows stay repeated; other columns are not read.
     """
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, BATCH)
     rows = only(df, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary)
-        for batch in slices(batches, 1, 2 << 20):
+        for batch in slices(batches, 1, SLICE):
             ids = coder.id_lists(batch.column(1).to_pylist())
             sizes = pa.array(np.diff(ids.offsets.to_numpy()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, sizes], ["id", "ids", "n_tokens"])
@@ -285,12 +290,12 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, text): the text of every row's ids; null ids give a null text."""
-    bound_batches(coded.sparkSession)
+    bound_batches(coded.sparkSession, BATCH)
     rows = only(coded, id=id_col, ids=ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary)
-        for batch in slices(batches, 1, 2 << 20):
+        for batch in slices(batches, 1, SLICE):
             lists = batch.column(1)
             flat, ends = lists.values.to_pylist(), lists.offsets.to_pylist()
             texts = [coder.decode(flat[a:b]) if lists[i].is_valid else None
@@ -305,12 +310,12 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", te
     ``exact`` says that decoding the ids gives the very text back; null for a
     null text.
     """
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, BATCH)
     rows = only(df, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary)
-        for batch in slices(batches, 1, 2 << 20):
+        for batch in slices(batches, 1, SLICE):
             texts = batch.column(1).to_pylist()
             ids = coder.id_lists(texts)
             flat, ends = ids.values.to_numpy().tolist(), ids.offsets.to_pylist()

@@ -13,7 +13,7 @@ import numpy as np
 
 from gapwise.llm.words import mix, powers, span_hashes
 
-LANES = 1 << 15  #: lanes that advance together
+LANES = 1 << 13  #: lanes that advance together
 FITS = 200_000  #: pairs of pieces remembered
 _NONE, _UNKNOWN = -2, -1
 
