@@ -22,6 +22,8 @@ their size is fixed (about 1 MB), not a function of the data.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cached_property
@@ -56,6 +58,21 @@ class Vocabulary:
         self.name = hashlib.blake2b(repr((sorted(pieces.items()), scores, unknown, kind, prefix)).encode(),
                                     digest_size=16).digest()
 
+    def __reduce__(self):
+        """Travels as bytes that a worker unpacks once, however many tasks name the vocabulary."""
+        return _restored, (self.name, zlib.compress(pickle.dumps(self.__dict__), 1))
+
+
+_vocabularies: dict[bytes, Vocabulary] = {}
+
+
+def _restored(name: bytes, packed: bytes) -> Vocabulary:
+    if name not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[name] = made = Vocabulary.__new__(Vocabulary)
+        made.__dict__.update(pickle.loads(zlib.decompress(packed)))
+    return _vocabularies[name]
+
 
 def load_vocabulary(path: str) -> Vocabulary:
     """Read a model file; whole scores 0, -1, -2, ... are merge ranks and mark a BPE model."""
@@ -264,6 +281,7 @@ _coders: dict[bytes, StreamingViterbi] = {}
 
 def _coder(vocabulary: Vocabulary) -> StreamingViterbi:
     """One coder for each worker, so that what it remembers outlives a task."""
+    pa.default_memory_pool().release_unused()  # what an earlier stage's batches took
     if vocabulary.name not in _coders:
         _coders.clear()
         _coders[vocabulary.name] = StreamingViterbi(vocabulary)
