@@ -7,14 +7,18 @@ fixed random order (optimal densification), so that two texts agree in a bin
 with the probability of their Jaccard similarity, short texts included.  Bands
 of bins are bucket keys.  Inside a bucket only the edges to one centre are
 candidates, hence never more than its members; every candidate is confirmed on
-the full shingle sets.  Later rounds draw other centres for the buckets that
-still hold several components, until a round links nothing.  What is split then
-is finished exactly: each pair of a shared bucket is tested, in one component or
-ruled out by its sizes.  Small buckets list their pairs; large ones are cut into
-blocks, and a task compares two blocks and returns links alone.
+the full shingle sets.  A few rounds draw other centres for the buckets that
+still hold several components.
+
+What is split then is finished exactly, by the prefix filter: two sets as
+similar as asked share one of the rarest shingles of either, so only members
+that meet in a rare shingle, lie in different components and can still overlap
+enough behind it are compared.  Texts that share a template and no more meet
+nowhere, however many they are.
 
 Texts with equal sets are one node from the start (grouped by a 128-bit digest
-of the set), so a group of copies costs one signature row.
+of the set), so a group of copies costs one signature row, and texts under one
+id stay apart.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +39,7 @@ from gapwise.llm.words import mix, shingle_sets
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 PARTS = 64  #: tasks that the pairs of one centre are dealt to
-FEW = 16  #: members at most of a bucket whose open pairs are listed
-BLOCK = 256  #: members of a block of a larger bucket
+ROUNDS = 3  #: star rounds at most; the exact finish takes what they leave
 
 _EDGES = (np.arange(BINS, dtype=object) * (1 << 64) // BINS).astype(np.uint64)
 _ORDER = np.argsort(np.argsort(mix(
@@ -71,7 +73,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             for shingles in shingle_sets(texts_of(batch.column(1)), words):
                 sizes.append(len(shingles))
                 if len(shingles):
-                    digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                    digests.append(digest_of(shingles))
                     keys.append(band_keys(bin_values(shingles)))
                 else:
                     digests.append(None)
@@ -82,14 +84,24 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(sign, "id long, n_shingles long, digest binary, keys array<long>")
 
 
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): each text's whole shingle set, ascending as unsigned numbers."""
+    """(node, shingles) of (node, text, digest): whole sets, ascending as unsigned numbers.
+
+    A row whose text has another digest belongs to another node of its id.
+    """
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            sets = [s.view(np.int64) for s in shingle_sets(texts_of(batch.column(1)), words)]
+            sets = list(shingle_sets(texts_of(batch.column(1)), words))
+            own = [digest_of(s) == d for s, d in zip(sets, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-    return docs.mapInArrow(collect, "id long, shingles array<long>")
+                [batch.column(0).filter(pa.array(own, pa.bool_())),
+                 pa.array([s.view(np.int64) for s, good in zip(sets, own) if good], pa.list_(pa.int64()))],
+                ["node", "shingles"])
+    return docs.mapInArrow(collect, "node long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -97,15 +109,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     ``pairs`` (a, b, hub) name the one of the two that was the bucket's centre.
     A hub may have any number of pairs, its partner only one for each band: the
-    partner's set joins on its id, and the hub's is copied to the few PARTS
-    where it has partners.  ``sets`` lie in buckets of their ids and stay there.
+    partner's set joins on its node, and the hub's is copied to the few PARTS
+    where it has partners.  ``sets`` lie in buckets of their nodes and stay there.
     """
     spoke = F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a"))
     ways = pairs.select("a", "b", "hub", spoke.alias("spoke")).withColumn(
         "part", F.pmod(F.xxhash64("spoke"), F.lit(PARTS)))
     left = ways.select("hub", "part").distinct().hint("merge").join(
-        sets.select(F.col("id").alias("hub"), F.col("shingles").alias("left")), "hub")
-    right = ways.hint("merge").join(sets.select(F.col("id").alias("spoke"), F.col("shingles").alias("right")), "spoke")
+        sets.select(F.col("node").alias("hub"), F.col("shingles").alias("left")), "hub")
+    right = ways.hint("merge").join(sets.select(F.col("node").alias("spoke"), F.col("shingles").alias("right")), "spoke")
     small, large = F.least(F.size("left"), F.size("right")), F.greatest(F.size("left"), F.size("right"))
     both = (right.hint("merge").join(left, ["hub", "part"]).where(100 * small >= percent * large)
             .select("a", "b", "left", "right"))
@@ -125,9 +137,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def still_split(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, n, component) of the buckets that hold several components yet."""
-    rows = members.select("key", "id", "n").join(labels, members["id"] == labels["node"], "left").select(
-        "key", "id", "n", F.coalesce("component", "id").alias("component"))
+    """(key, node, n, component) of the buckets that hold several components yet."""
+    rows = members.select("key", "node", "n").join(labels, "node", "left").select(
+        "key", "node", "n", F.coalesce("component", "node").alias("component"))
     split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
         "low < high").select("key")
     return rows.join(split, "key")
@@ -138,102 +150,64 @@ def stars(members: DataFrame, turn: int, percent: int) -> DataFrame:
 
     Sets whose sizes alone rule a link out are no candidates.
 
-    In the first round the centre follows from one order of all ids, so that
+    In the first round the centre follows from one order of all nodes, so that
     large groups share few centres; later rounds draw it for each bucket anew.
     """
-    rank = F.xxhash64(F.lit(turn), "id") if turn == 0 else F.xxhash64(F.lit(turn), "key", "id")
+    rank = F.xxhash64(F.lit(turn), "node") if turn == 0 else F.xxhash64(F.lit(turn), "key", "node")
     centres = members.groupBy("key").agg(F.min(F.struct(
-        rank.alias("rank"), F.col("id").alias("centre"), F.col("component").alias("at"), F.col("n").alias("m"))).alias("c")).select(
+        rank.alias("rank"), F.col("node").alias("centre"), F.col("component").alias("at"), F.col("n").alias("m"))).alias("c")).select(
         "key", "c.centre", "c.at", "c.m")
     possible = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     return (members.join(centres, "key").where(F.col("component") != F.col("at")).where(possible)
-            .groupBy(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b"))
+            .groupBy(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
             .agg(F.min("centre").alias("hub")))
 
 
-def open_pairs(few: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """(a, b, hub) of small buckets: the pairs of two components that no round has compared."""
-    left = few.select("key", F.col("id").alias("a"), F.col("n").alias("x"), F.col("component").alias("of_a"))
-    right = few.select("key", F.col("id").alias("b"), F.col("n").alias("y"), F.col("component").alias("of_b"))
-    pairs = left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("of_a") != F.col("of_b")) & (
-        100 * F.least("x", "y") >= percent * F.greatest("x", "y")))
-    return pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti").withColumn(
-        "hub", F.col("a"))
-
+def rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, n, component, at, short): the prefix of each set, rarest shingles first.
 
-def candidates(key: int, low: int, high: int, block: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Ids of two blocks (or of one) with the lesser ids that they must be compared to here.
-
-    A pair belongs to the first bucket that both share, so that one bucket compares it.
+    ``at`` counts from 0 and ``short`` marks the prefix that suffices when the
+    other set is at least as large.  Shingles that no other member has are left out.
+    """
+    rows = sets.hint("merge").join(members, "node").select("node", "n", "component", F.explode("shingles").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    ordered = rows.hint("merge").join(shared, "shingle", "left").groupBy("node", "n", "component").agg(F.sort_array(
+        F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle"))).alias("ordered"))
+    whole = F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 as int)")
+    short = F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
+    return (ordered.select("node", "n", "component", F.posexplode(F.slice("ordered", F.lit(1), whole)).alias("at", "s"))
+            .where("s.often > 1").select("s.shingle", "node", "n", "component", "at", (F.col("at") < short).alias("short")))
+
+
+def open_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, hub): all pairs of two components that the prefix filter leaves.
+
+    Of two components at a shingle one at most is its most common one, so pairs
+    are listed from the others: a large component costs its members times
+    theirs, never its square.
     """
-    block = block.sort_values("id", kind="stable")
-    ids, sizes, parts = (block[c].to_numpy() for c in ("id", "n", "component"))
-    keys = np.stack(block["keys"].to_list())
-    apart = parts[:, None] != parts[None, :]
-    apart &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
-    if low != high:
-        side = block["block"].to_numpy() == low
-        apart &= side[:, None] != side[None, :]
-    for band in range(int(np.flatnonzero(keys[0] == key)[0])):
-        apart &= keys[:, None, band] != keys[None, :, band]
-    some = np.flatnonzero(apart.any(1))
-    return pd.DataFrame({"key": key, "low": low, "high": high, "id": ids[some],
-                         "others": pd.Series([ids[np.flatnonzero(apart[i, :i])] for i in some], dtype=object)})
-
-
-def block_links(block: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The links (a, b) between ids and their ``others``, on full sets."""
-    ids, sets = block["id"].to_numpy(), block["shingles"].to_list()
-    sizes = np.array([len(s) for s in sets], np.int64)
-    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    place = dict(zip(ids.tolist(), range(len(ids))))
-    a, b, mark = [], [], np.zeros(len(names), bool)
-    for i, others in enumerate(block["others"]):
-        if len(others):
-            own = flat[ends[i] - sizes[i]:ends[i]]
-            mark[own] = True
-            shared = np.add.reduceat(mark[flat], ends - sizes, dtype=np.int64)
-            mark[own] = False
-            at = np.array([place[o] for o in others.tolist()])
-            linked = at[100 * shared[at] >= percent * (sizes[i] + sizes[at] - shared[at])]
-            a += [ids[i]] * len(linked)
-            b += ids[linked].tolist()
-    return pd.DataFrame({"a": a, "b": b}).astype("int64")
-
-
-def block_pairs(many: DataFrame, keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components inside the larger buckets ``many`` (key, id, n, component, m)."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    cut = many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    paired = (cut.join(keys.hint("merge"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                      "block", "id", "n", "component", "keys"))
-    group = ["key", "low", "high"]
-    wanted = keep(paired.groupBy(*group).applyInPandas(
-        lambda at, frame: candidates(int(at[0]), int(at[1]), int(at[2]), frame, percent),
-        "key long, low int, high int, id long, others array<long>"), "wanted")
-    return wanted.hint("merge").join(sets, "id").groupBy(*group).applyInPandas(
-        lambda frame: block_links(frame, percent), "a long, b long")
-
-
-def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(node, component) after new ``links`` (a, b) between components."""
-    if labels is None:
-        return components(links)
-    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("x"))
-    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("y"))
-    raised = links.join(of_a, "a", "left").join(of_b, "b", "left").select(
-        F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    found = components(raised)
-    onward = found.select(F.col("node").alias("component"), F.col("component").alias("into"))
-    moved = labels.join(onward, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
-    # ids that had no links yet
-    return moved.unionByName(found.join(labels.select("node"), "node", "left_anti"))
+    main = (prefixes.groupBy("shingle", "component").agg(F.count("*").alias("m"))
+            .groupBy("shingle").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count("*").alias("parts"))
+            .where("parts > 1").select("shingle", "main"))
+    marked = prefixes.join(main, "shingle").withColumn("minor", F.col("component") != F.col("main"))
+    marked = keep(marked, "prefixes")
+    x, y = (marked.select("shingle", "short", "minor", *(F.col(c).alias(c + side) for c in ("node", "n", "component", "at")))
+            for side in "xy")
+    x = x.where("short")
+    met = [left.drop("short", "minor").hint("merge").join(right.drop("short", "minor"), "shingle") for left, right in (
+        (x.where("minor"), y), (x.where("not minor"), y.where("minor")))]
+    possible = ((F.col("componentx") != F.col("componenty"))
+                & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("nodex") < F.col("nodey"))))
+                & (100 * F.col("nx") >= percent * F.col("ny"))
+                & ((100 + percent) * F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty"))
+                   >= percent * (F.col("nx") + F.col("ny"))))
+    found = met[0].where(possible).select("nodex", "nodey").union(met[1].where(possible).select("nodex", "nodey"))
+    return found.groupBy(F.greatest("nodex", "nodey").alias("a"), F.least("nodex", "nodey").alias("b")).agg(
+        F.min("nodex").alias("hub"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                    percent: int = 80) -> DataFrame:
+                    percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
     Links join documents whose shingle sets overlap by at least ``percent`` of
@@ -241,52 +215,63 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     included.  Null or wordless texts have no shingles and link with nothing.
     Rows that share an id are judged each by its own text.  A null id links with
     nothing: its component is null and it is kept.  Other columns are not read.
+    The result does not depend on ``rounds``.
     """
     spark = df.sparkSession
     docs = only(df, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
     signed = keep(signatures(docs, words), "signatures")
-    classes = keep(signed.where("digest is not null and id is not null")
-                   .groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = signed.where("id is not null").join(classes, "digest").where("id = rep").select("id", "keys", F.col("n_shingles").alias("n"))
-    entries = reps.select("id", "n", F.explode("keys").alias("key"))
-    crowded = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(
+    # written numbers: they only name a node until the end
+    nodes = keep(signed.where("digest is not null and id is not null").groupBy("digest").agg(
+        F.min("id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    entries = nodes.select("node", "n", F.explode("keys").alias("key"))
+    crowded = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(
         "low < high").select("key")
-    members = keep(entries.join(crowded, "key").distinct().withColumn("component", F.col("id")), "members")
-    live = members.select("id").distinct()
+    members = keep(entries.join(crowded, "key").withColumn("component", F.col("node")), "members")
+    live = members.select("node").distinct().join(nodes, "node").select(F.col("least").alias("id"), "digest", "node")
     # as many candidates as the corpus has: never broadcast, at no size
-    in_buckets = keep_by_key(full_sets(docs.join(live.hint("merge"), "id"), words), "sets", "id")
+    texts = docs.join(live.hint("merge"), "id").select("node", "text", "digest")
+    in_buckets = keep_by_key(full_sets(texts, words).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets", "node")
     sets = spark.table(in_buckets)
 
-    tested = labels = None
-    turn = 0
-    while True:
-        if turn:
-            rest = keep(still_split(members, labels), "members")
-            forget(spark, members)
-            members = rest
-        pairs = stars(members, turn, percent)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
+    links: list[DataFrame] = []
+    labels = None
+    for turn in range(rounds):
+        pairs = keep(stars(members, turn, percent), "pairs")
         fresh = keep(confirmed(pairs, sets, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        forget(spark, pairs)
         if fresh.isEmpty():
             break
-        labels = keep(merged(labels, fresh), "labels")
-        turn += 1
-    # the one pair of a bucket of two has been its star
-    left = keep(members.join(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 2"), "key"), "split")
-    last = keep(confirmed(keep(open_pairs(left.where(F.col("m") <= FEW), tested, percent), "pairs"), sets, percent)
-                .unionByName(block_pairs(left.where(F.col("m") > FEW), reps.select("id", "keys"), sets, percent)), "links")
+        links.append(fresh)
+        labels, members = _joined(members, links, labels)
+    open_members = keep(members.select("node", "n", "component").distinct(), "open")
+    pairs = keep(open_pairs(rare_shingles(open_members, sets, percent), percent), "pairs")
+    last = keep(confirmed(pairs, sets, percent), "links")
     if not last.isEmpty():
-        labels = keep(merged(labels, last), "labels")
-    forget(spark, members)
+        links.append(last)
+        labels, members = _joined(members, links, labels)
+    forget(spark, members, open_members, pairs)
     forget_table(spark, in_buckets)
-    by_rep = classes
+    reach = nodes.select("digest", "node", "least")
     if labels is not None:
-        by_rep = classes.join(labels, classes["rep"] == labels["node"], "left").select(
-            "digest", F.coalesce("component", "rep").alias("rep"))
-    rows = signed.join(by_rep, "digest", "left")
-    return rows.select(
-        "id", "n_shingles", F.coalesce("rep", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("rep", "id"), F.lit(True)).alias("kept"))
+        placed = reach.join(labels, "node", "left").select(
+            "digest", "least", F.coalesce("component", "node").alias("component"))
+        lowest = placed.groupBy("component").agg(F.min("least").alias("lowest"))
+        reach = placed.join(lowest, "component").select("digest", F.col("lowest").alias("least"))
+    rows = signed.join(reach.select("digest", "least"), "digest", "left")
+    linked = F.col("id").isNotNull()
+    component = F.when(linked, F.coalesce("least", "id"))
+    return rows.select("id", "n_shingles", component.alias("component_id"),
+                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _joined(members: DataFrame, links: list[DataFrame], before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The labels (node, component) after all ``links`` and the members of buckets that stay split."""
+    spark = members.sparkSession
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    labels = keep(components(every), "labels")
+    rest = keep(still_split(members, labels), "members")
+    forget(spark, members, *([] if before is None else [before]))
+    return labels, rest

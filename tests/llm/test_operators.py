@@ -48,11 +48,12 @@ def test_words_follow_the_ascii_rule():
     assert len(set(word_hashes([b"Ab aB ab"])[0].tolist())) == 1
 
 
+@pytest.mark.parametrize("at_once", [0, 3, 1000])
 @pytest.mark.parametrize("edges", [
     [(i, i + 1) for i in range(12)], [(9, 3), (3, 9), (4, 4), (5, 6)], [(i, 50) for i in range(20)], []])
-def test_components(spark, edges):
+def test_components(spark, edges, at_once):
     nodes = {n for a, b in edges if a != b for n in (a, b)}
-    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = components(spark.createDataFrame(edges, "a long, b long"), at_once).collect()
     assert {r["node"]: r["component"] for r in got} == reach(nodes, [e for e in edges if e[0] != e[1]])
 
 
@@ -81,26 +82,45 @@ def test_near_duplicates_equal_all_pairs(spark, words):
     assert all(got[i]["n_shingles"] == len(s) and got[i]["kept"] == (want[i] == i) for i, s in sets.items())
 
 
-@pytest.mark.parametrize("few", [16, 2])
-def test_split_buckets_are_finished(spark, monkeypatch, few):
-    # one band of one bin, and every text begins with the centre of all buckets: no star links anything
-    monkeypatch.setattr(minhash_dedup, "FEW", few)
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_split_buckets_are_finished(spark, monkeypatch, rounds):
+    # one bucket for all, and a text that is part of every other: stars around it link nothing
     monkeypatch.setattr(minhash_dedup, "band_keys", lambda values: np.arange(32, dtype=np.int64))
     common = [f"c{i}" for i in range(60)]
     own = [[f"x{i}_{j}" for j in range(40)] for i in range(5)]
     texts = [common] + [common + o for o in own] + [common + o[:-1] + ["z"] for o in own]
     df = docs(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)])
-    # the draws of the centres never name a text that has a copy
-    monkeypatch.setattr(minhash_dedup, "stars", _hub_stars)
-    got = {r["id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df, words=1).collect()}
+    got = {r["id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df, words=1, rounds=rounds).collect()}
     assert got == {0: 0} | {i: (i - 1) % 5 + 1 for i in range(1, 11)}
 
 
-def _hub_stars(members, turn, percent):
-    """Stars whose centre is always text 0."""
-    return members.where("id > 0").select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"),
-                                          F.lit(0).cast("long").alias("hub")).distinct()
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_large_group_of_near_copies_is_finished(spark, rounds):
+    rng = np.random.default_rng(17)
+    base = [f"b{i}" for i in range(30)]
+    texts = []
+    for i in range(150):
+        text = list(base)
+        for at in rng.choice(30, rng.integers(0, 6), replace=False):
+            text[at] = f"n{rng.integers(40)}"
+        texts.append(text)
+    sets = [set(zip(t, t[1:])) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(150), 2)
+             if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    df = docs(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)])
+    got = {r["id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df, words=2, rounds=rounds).collect()}
+    assert got == reach(range(150), links)
+
+
+def test_texts_under_one_id_stay_apart(spark):
+    one = " ".join(f"a{i}" for i in range(40))
+    two = " ".join(f"b{i}" for i in range(40))
+    rows = [(3, one), (5, one + " x"), (5, two), (9, two + " y"), (9, two + " y"), (None, one), (7, "unlike")]
+    df = docs(spark, [(i, t, "s") for i, t in rows])
+    got = sorted((r["id"] or -1, r["n_shingles"], r["component_id"] or -1, r["kept"])
+                 for r in minhash_dedup.near_duplicates(df).collect())
+    assert got == [(-1, 36, -1, True), (3, 36, 3, True), (5, 36, 5, True), (5, 37, 3, False), (7, 1, 7, True),
+                   (9, 37, 5, False), (9, 37, 5, False)]
 
 
 def test_near_vectors_equal_all_pairs(spark):
