@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.llm.store import keep
-from gapwise.llm.vectors import matrix, pack, usable
+from gapwise.llm.vectors import matrix, pack, unit_rows, usable
 from gapwise.operators.rows import dense_ids
 
 CURVES, AXES, BITS = 3, 6, 8
 WINDOW = 512  #: rows of a window step: a query meets its own step and one on either side
 BLOCK = 8192  #: rows of a block of the widened windows
-SLACK = 1e-9  #: on bars, above any rounding of a score
+SLACK = 1e-9  #: on bars, as a part of the lengths of both vectors: above any rounding of a score
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -66,33 +66,39 @@ def curve_keys(x: np.ndarray, curve: int) -> np.ndarray:
     rng = np.random.default_rng(1000 + curve)
     directions = rng.standard_normal((x.shape[1], AXES))
     directions /= np.sqrt((directions ** 2).sum(0))
-    unit = x / np.sqrt((x * x).sum(1))[:, None]
-    flat = np.arctan(unit @ directions * np.sqrt(x.shape[1])) / np.pi + 0.5
+    flat = np.arctan(unit_rows(x) @ directions * np.sqrt(x.shape[1])) / np.pi + 0.5
     shifted = (flat + rng.random(AXES)) / 2
     return hilbert_keys(np.clip((shifted * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1), BITS)
 
 
-def best(query: np.ndarray, x: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: int, k: int, bar: float):
+def best(query: np.ndarray, x: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: int, k: int, bar: float,
+         slack: float):
     """Ids and scores of the k best candidates: score descending, id ascending, not the query.
 
     ``scores`` come from a matrix product; those that may be among the best are
     summed again in order of the coordinates, so that equal vectors tie exactly.
     """
-    fit = np.flatnonzero((scores >= bar) & (ids != own))
+    fit = np.flatnonzero((scores >= bar - slack) & (ids != own))
     if len(fit) > k:
         cut = np.partition(scores[fit], len(fit) - k)[len(fit) - k]
-        fit = fit[scores[fit] >= cut - SLACK]
+        fit = fit[scores[fit] >= cut - slack]
     exact = np.cumsum(x[fit] * query, axis=1)[:, -1] if len(fit) else np.zeros(0)
     order = np.lexsort((ids[fit], -exact))[:k]
     return ids[fit][order], exact[order]
 
 
+def slack_of(queries: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What rounding may add to or take from a score of each query with rows of ``x``."""
+    return SLACK * np.sqrt((queries * queries).sum(1)) * np.sqrt((x * x).sum(1)).max(initial=0.0)
+
+
 def _ranked(queries: np.ndarray, qids, bars, x: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    slacks = slack_of(queries, x)
     for start in range(0, len(queries), 256):
-        part = queries[start:start + 256]
-        for query, row, q, bar in zip(part, part @ x.T, qids[start:start + 256], bars[start:start + 256]):
-            found, scores = best(query, x, row, ids, q, k, bar)
+        part, own = queries[start:start + 256], slice(start, start + 256)
+        for query, row, q, bar, slack in zip(part, part @ x.T, qids[own], bars[own], slacks[own]):
+            found, scores = best(query, x, row, ids, q, k, bar, slack)
             out_q.append(np.full(len(found), q, np.int64))
             out_v.append(found)
             out_s.append(scores)
@@ -178,7 +184,7 @@ def _nearest(rows: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     bars = top.groupBy("query_id").agg(
-        F.when(F.count("*") == k, F.min("score") - SLACK).otherwise(float("-inf")).alias("bar"))
+        F.when(F.count("*") == k, F.min("score")).otherwise(float("-inf")).alias("bar"))
 
     def first_key(frames):
         for frame in frames:
@@ -201,7 +207,7 @@ def _nearest(rows: DataFrame, k: int) -> DataFrame:
         centre = x.mean(0)
         radius = np.sqrt(((x - centre) ** 2).sum(1)).max()
         most = q @ centre + np.sqrt((q * q).sum(1)) * radius
-        open_ = most + SLACK >= queries["bar"].to_numpy()
+        open_ = most + slack_of(q, x) >= queries["bar"].to_numpy()
         return _ranked(q[open_], queries["id"].to_numpy()[open_], queries["bar"].to_numpy()[open_],
                        x, block["id"].to_numpy(), k)
     return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gapwise.llm.graph import components
 from gapwise.llm.store import keep, only
-from gapwise.llm.vectors import matrix, pack, usable
+from gapwise.llm.vectors import matrix, pack, unit_rows, usable
 
 SAMPLE = 8192  #: vectors at most that the codebooks are fitted on
 CELL_VECTORS = 2000  #: aimed at for each cell and label when the grid is chosen
@@ -80,7 +80,7 @@ def link_block(cell: int, same: bool, low: int, block: pd.DataFrame, cosine: flo
     """Links inside one block or between two: (a, b) forest edges and (a, null, links) sums."""
     block = block.sort_values("rep", kind="stable")
     x = matrix(block["v"])
-    x = x / np.sqrt((x * x).sum(1))[:, None]
+    x = unit_rows(x)
     linked = x @ x.T >= cosine
     np.fill_diagonal(linked, False)
     cells = [np.asarray(c) for c in block["cells"]]
@@ -164,7 +164,7 @@ def _links(nodes: DataFrame, dims: int, count: int, labels: int, cosine: float)
     picked = nodes.where(F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(1 << 20)) < math.ceil(part * (1 << 20)))
     sample = matrix(r[0] for r in picked.select("v").limit(2 * SAMPLE).collect()) if codes > 1 else np.zeros((1, dims))
     sample = sample[np.lexsort(sample.T[::-1])]
-    sample = sample / np.maximum(np.sqrt((sample ** 2).sum(1)), 1e-300)[:, None]
+    sample = unit_rows(sample)
     half = dims // 2
     books = codebook(sample[:, :half], codes), codebook(sample[:, half:], codes)
     reach = reach_of(cosine)
@@ -175,7 +175,7 @@ def _links(nodes: DataFrame, dims: int, count: int, labels: int, cosine: float)
                 piece = frame.iloc[start:start + 2048]
                 if len(piece):
                     x = matrix(piece["v"])
-                    x = x / np.sqrt((x * x).sum(1))[:, None]
+                    x = unit_rows(x)
                     yield piece.assign(cells=[c.astype("int32").tolist() for c in visits(x, books, reach)])
     kind = dict(nodes.dtypes)["label"]
     placed = keep(nodes.select("label", "rep", "weight", "v").mapInPandas(

@@ -37,3 +37,13 @@ def matrix(packed) -> np.ndarray:
     """A row for each packed vector, all of one length."""
     packed = list(packed)
     return np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), -1)
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, zero rows as they are.
+
+    Each row is first scaled by a power of two, which rounds nothing, so that
+    squares of very small or large components neither vanish nor overflow.
+    """
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
