@@ -52,15 +52,16 @@ DEPTH = 100  #: elements nested deeper are matched as text of the one above
 
 
 class Node:
-    __slots__ = ("tag", "key", "other", "kids")
+    __slots__ = ("tag", "key", "other", "firm", "kids")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.kids, words, self.key = tag, [], [], tag
+        self.tag, self.kids, words, whole, self.key = tag, [], [], [], tag
         role = ""
         if attributes and "=" in attributes:
             for name, a, b, c in MARKS.findall(attributes):
                 value = (a or b or c).lower()
                 words += re.split(r"[\s_-]+", value)
+                whole += value.split()
                 if name.lower() == "role":
                     role = value
                 else:
@@ -70,6 +71,9 @@ class Node:
         self.other = tag in NEVER or (tag not in ("html", "body", "main", "article") and not OTHER.isdisjoint(words)) \
             or (tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(words)) \
             or role in ("banner", "alert", "form")
+        # marked by more than a part of a name such as "has-sidebar"
+        self.firm = self.other and (tag in NEVER or tag == "article" or role in ("banner", "alert", "form")
+                                    or not OTHER.isdisjoint(whole))
 
 
 def parse(page: str) -> Node:
@@ -154,19 +158,16 @@ def blocks_of(node: Node, inside: bool, dropped: set[int] = frozenset()) -> list
     return out
 
 
-def articles(root: Node) -> list[Node]:
-    """Topmost article elements, else main elements, outside of what is never content."""
-    for wanted in ("article", "main"):
-        found, work = [], [root]
-        while work:
-            node = work.pop()
-            if node.tag == wanted:
-                found.append(node)
-                continue
-            work.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.other)
-        if found:
-            return found
-    return []
+def articles(root: Node, wanted: str, firm: bool = False) -> list[Node]:
+    """Topmost elements ``wanted`` outside of what is never content; ``firm``: of what is so beyond doubt."""
+    found, work = [], [root]
+    while work:
+        node = work.pop()
+        if node.tag == wanted:
+            found.append(node)
+            continue
+        work.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not (k.firm if firm else k.other))
+    return found
 
 
 def outline(node: Node) -> tuple[list, list]:
@@ -259,13 +260,23 @@ def constants(root: Node, wrapper: list) -> set[int]:
 
 
 def main_text(page: str, wrapper: list | None = None) -> str:
-    """The article's blocks joined by blank lines."""
+    """The article's blocks joined by blank lines.
+
+    The first of these that has text: article elements, main elements, then
+    either inside elements that only a part of a class name speaks against.
+    A page with none of them is read through its wrapper.
+    """
     root = parse(page)
-    template = constants(root, wrapper) if wrapper else set()
-    found = articles(root)
-    if found:
-        return "\n\n".join(b for a in found for b in blocks_of(a, True))
-    return "\n\n".join(blocks_of(root, False, template))
+    marked = False
+    for wanted, firm in (("article", False), ("main", False), ("article", True), ("main", True)):
+        found = articles(root, wanted, firm)
+        marked |= bool(found)
+        text = "\n\n".join(b for a in found for b in blocks_of(a, True))
+        if text:
+            return text
+    if marked:
+        return ""
+    return "\n\n".join(blocks_of(root, False, constants(root, wrapper) if wrapper else set()))
 
 
 def host_of(url: str) -> F.Column:

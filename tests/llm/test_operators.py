@@ -143,6 +143,25 @@ def test_near_vectors_equal_all_pairs(spark):
     assert {i: r["n_links"] for i, r in got.items()} == {i: sum(i in e for e in links) for i in got}
 
 
+def test_cosines_of_very_small_and_large_vectors(spark):
+    shapes = [(1.0, 9.0), (9.0, 1.0), (1.0, 8.9)]
+    rows = [(i, [a * scale, b * scale], 1) for i, (scale, (a, b)) in enumerate(itertools.product((1e-200, 1.0, 1e200), shapes))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == {i: (2, 1) if i % 3 == 1 else (5, 0) for i in range(9)}
+
+
+def test_nearest_of_large_vectors(spark):
+    x = np.random.default_rng(21).standard_normal((400, 24)) * 1e5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann_search.nearest(df, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, 400, 20):
+        scores = np.cumsum(x * x[q], axis=1)[:, -1]
+        assert got[q] == [i for i in np.lexsort((np.arange(400), -scores)) if i != q][:20]
+
+
 def test_grid_cells_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CELL_VECTORS", 5)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
@@ -296,6 +315,15 @@ def test_main_text():
     assert html_extract.main_text("<div>" * 30000 + "deep") == "deep"
 
 
+def test_article_inside_a_doubtful_element():
+    page = "<body><div class='content has-sidebar'><article><p>body</p></article><div class='sidebar'>side</div></div></body>"
+    assert html_extract.main_text(page) == "body"
+    teaser = "<div class='related-posts'><article>teaser</article></div>"
+    assert html_extract.main_text(f"<article>real</article>{teaser}") == "real"
+    assert html_extract.main_text(f"<main><p>real</p>{teaser}</main>") == "real"
+    assert html_extract.main_text("<div class='comments'><article>c</article></div><p>x</p>") == "x"
+
+
 def test_wrapper_drops_what_a_host_repeats(spark):
     shell = "<body><div>Welcome to us</div><div class=x><p>{}</p><p>{}</p></div><div>All rights</div></body>"
     rows = [(i, "http://h.com/", shell.format(f"text {i}", f"more {i}")) for i in range(6)]
