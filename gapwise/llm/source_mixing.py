@@ -99,7 +99,7 @@ def shards_of(blocks: DataFrame, seed: int, shards: int = SHARDS) -> DataFrame:
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         seed: int = 11, shards: int = SHARDS) -> DataFrame:
-    """(id, size, source_size, target, taken, shard, place) of every row.
+    """(id, source, size, source_size, target, taken, shard, place) of every row.
 
     ``taken`` words are due to the row: whole copies and, for the few rows where
     a source's target falls, a part of one; never more than MOST_COPIES times
@@ -137,5 +137,5 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             .otherwise(F.coalesce(F.floor(F.col("size") * F.col("part_own") / F.col("part_size")), F.lit(0))))
     taken = F.col("copies") * F.col("size") + F.when(F.col("copies") < MOST_COPIES, once).otherwise(F.lit(0))
     place = F.md5(F.concat(F.lit(f"{seed}|place|"), F.coalesce(key.cast("string"), F.lit("null"))))
-    return joined.select("id", "size", "source_size", "target", taken.cast("long").alias("taken"), "shard",
+    return joined.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "shard",
                          place.alias("place"))

@@ -144,19 +144,21 @@ def cut_runs(text: bytes, copies: dict[tuple[int, int], int], least: int) -> tup
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """One row per document: id, text, n_removed, n_passages, first_ids, all other columns unread.
+    """One row per document: id, text, n_removed, n_passages, first_ids, before; all other columns unread.
 
     ``text`` lacks every passage of ``passage_words`` or more words that stands
     earlier in the corpus in one place (less id, or earlier in the same text); ``n_removed``
     counts the removed words and ``first_ids`` lists the documents that keep
     them.  Null texts stay null and texts without words stay as they are.  Rows
     with a null id are returned unchanged.  Rows that share an id are each
-    cleaned of the copies found in their own text.
+    cleaned of the copies found in their own text; ``before``, a hash of the
+    text as it was, tells them apart.
     """
     bound_batches(df.sparkSession)
     docs = only(df, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
     found = keep(copied_stretches(docs.where("id is not null"), passage_words), "copies")
-    rows = docs.join(found, "id", "left").select("id", "text", "copies.seq", "copies.digest", "copies.owner")
+    rows = docs.join(found, "id", "left").select("id", "text", "copies.seq", "copies.digest", "copies.owner",
+                                                 F.xxhash64("text").alias("before"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -173,7 +175,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 firsts.append(sorted(from_))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64()),
-                 pa.array(passages, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                ["id", "text", "n_removed", "n_passages", "first_ids"])
+                 pa.array(passages, pa.int64()), pa.array(firsts, pa.list_(pa.int64())),
+                 batch.column(5)], ["id", "text", "n_removed", "n_passages", "first_ids", "before"])
     return rows.mapInArrow(
-        clean, "id long, text string, n_removed long, n_passages long, first_ids array<long>")
+        clean, "id long, text string, n_removed long, n_passages long, first_ids array<long>, before long")
