@@ -1,7 +1,10 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
-and is written as Parquet before the next one reads it.
+and is written as Parquet before the next one reads it.  Further columns of any
+name pass through untouched.  A document with a null doc_id is never rejected,
+never a near-duplicate and loses no passage, but is mixed like any other.  The
+first two stages judge ids: rows that share an id go together.
 """
 
 from __future__ import annotations
@@ -27,31 +30,45 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """Whole rows as one column ``doc``, so that no name of theirs meets a stage's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document has; emptied ones go."""
+    """Documents without the passages that an earlier document has; emptied ones go.
+
+    Rows that share an id each keep the rest of their own text, and equal rows
+    stay as often as they came.  ``n_chars``, where there is one, is counted anew
+    for the texts that lost something.
+    """
     cleaned = substring_dedup.remove_repeats(docs).where("n_removed > 0").select(
-        F.col("id").alias("cleaned_id"), F.col("text").alias("rest")).dropDuplicates(["cleaned_id"])
-    joined = docs.join(cleaned, docs["doc_id"] == F.col("cleaned_id"), "left")
-    full = joined.where("cleaned_id is null or trim(rest) != ''")
-    return full.withColumns({"text": F.coalesce("rest", "text"),
-                             "n_chars": F.when(F.col("cleaned_id").isNotNull(), F.length("rest").cast("long"))
-                             .otherwise(F.col("n_chars"))}).select(docs.columns)
+        "id", "before", F.col("text").alias("rest")).dropDuplicates(["id", "before"])
+    joined = boxed(docs).join(
+        cleaned, (F.col("doc.doc_id") == F.col("id")) & (F.xxhash64("doc.text") == F.col("before")), "left")
+    full = joined.where("id is null or trim(rest) != ''")
+    anew = {"text": F.coalesce("rest", "doc.text"),
+            "n_chars": F.when(F.col("id").isNotNull(), F.length("rest").cast("long")).otherwise(
+                F.col("doc.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return full.select(*(anew.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them, each shard shuffled.
 
     Where a target falls inside a document, it is taken when at least half of
-    its words are due.
+    its words are due.  What is taken of a row follows from its id (null too),
+    source and size, so rows that share an id are taken each by its own size.
     """
-    mixed = source_mixing.mix(docs).select(F.col("id").alias("mixed_id"), "size", "taken", "shard", "place")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    due = mixed.where("taken > 0").withColumn("copies", copies).where("copies > 0").dropDuplicates(["mixed_id"])
-    repeated = docs.join(due, docs["doc_id"] == F.col("mixed_id")).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    place = F.md5(F.concat_ws("|", "place", "copy"))
-    return repeated.withColumn("place", place).repartitionByRange("shard", "place").sortWithinPartitions(
-        "shard", "place").select(docs.columns)
+    due = source_mixing.mix(docs).where("taken > 0").withColumn("copies", copies).where("copies > 0").select(
+        "id", "source", "size", "copies", "shard", "place").dropDuplicates(["id", "source", "size"])
+    rows = boxed(docs).withColumn("words", source_mixing.word_count(F.col("doc.text")))
+    repeated = rows.join(due, F.col("doc.doc_id").eqNullSafe(F.col("id")) & F.col("doc.source").cast("string").eqNullSafe(
+        F.col("source")) & (F.col("words") == F.col("size"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    placed = repeated.select("doc", "shard", F.md5(F.concat_ws("|", "place", "copy")).alias("place"))
+    return placed.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select(
+        *(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
