@@ -349,6 +349,24 @@ def test_swap_changes_group_names_only():
     assert toxicity.counterfactual(b"nobody named") is None
 
 
+def test_penalty_narrows_the_gap_of_swapped_sentences(monkeypatch):
+    rng = np.random.default_rng(41)
+    filler = [f"word{i}" for i in range(60)]
+    # one group is named in most toxic sentences, the other in most harmless ones
+    rows = [(f"{' '.join(rng.choice(filler, 8))} {'awful' if toxic else 'lovely'} "
+             f"{'muslims' if (rng.random() < 0.9) == bool(toxic) else 'christians'}".encode(), toxic)
+            for toxic in rng.integers(0, 2, 300)]
+
+    def gap(penalty):
+        monkeypatch.setattr(toxicity, "PENALTY", penalty)
+        own = [toxicity.word_features(t)[0] for t, _ in rows]
+        twins = {i: toxicity.word_features(toxicity.counterfactual(t))[0] for i, (t, _) in enumerate(rows)}
+        weights = toxicity.fit_words(own, twins, np.array([y for _, y in rows], float)).astype(np.float32)
+        return np.mean([abs(toxicity.evidence(t, weights)[0] - toxicity.evidence(toxicity.counterfactual(t), weights)[0])
+                        for t, _ in rows])
+    assert gap(1.0) < 0.5 * gap(0.0)
+
+
 def test_quality_on_labelled_rows(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
