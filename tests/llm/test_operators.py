@@ -372,3 +372,12 @@ def test_quality_on_labelled_rows(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     rows = QUERIES["op5_quality"](spark, folder).join(labels, "doc_id").collect()
     assert sum(bool(r["kept"]) == bool(r["quality"]) for r in rows) >= 0.97 * len(rows)
+
+
+def test_quality_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    judged = quality_filter.judge(documents, labels.where(~held))
+    rows = judged.join(labels.where(held), judged["id"] == labels["doc_id"]).select("kept", "quality").collect()
+    assert len(rows) > 500 and sum(bool(r["kept"]) == bool(r["quality"]) for r in rows) >= 0.95 * len(rows)
