@@ -1,17 +1,21 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host come from one template.  Two reference pages of each host are
-aligned by simple tree matching; aligned nodes with equal content are constant
-and become the host's template, aligned nodes with different content are slots.
-Every page is then matched against its host's wrapper: what falls on a constant
-node is template and dropped, what varies is content.  Where the page marks its
-article, the article is the content slot, and constant passages inside it stay,
-because an article may quote a line that other pages have too.  Menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments are known by
-their element, role, class or id, and are never content.
-
-Runs of like leaf elements (paragraphs, list items) count as one node in the
-matching, so trees stay small however long a page is.
+Pages of one host come from one template.  A page's outline is the tree of its
+elements without texts; the most common outline of a host is its mold.  Every
+different outline of the host is aligned with the mold by simple tree matching,
+so that each text of each page belongs to a place of the mold.  Over all
+different pages of the host Spark counts how often a place holds which text: a
+place that (nearly) always holds the same one is constant, hence template, the
+others are slots.  A page's content is what stands in slots and, where it has
+them, in its article or main element; a few short article cards beside a long
+body do not count as the article.  Inside an article a place must repeat on
+more pages to be template, and its title never is.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments
+are known by their element, role, class or id, and are never content.
+
+Runs of like neighbours (paragraphs, list items) count as one place, so
+outlines stay small however long a page is.
 """
 
 from __future__ import annotations
@@ -19,19 +23,20 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
-from zlib import crc32
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.store import slices
+from gapwise.llm.store import bound_batches, keep, slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
                    r"|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WHITE = re.compile(r"\s+")
+NUMBER = re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -48,7 +53,15 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
           "th": {"tr", "table"}, "option": {"select"}}
-DEPTH = 100  #: elements nested deeper are matched as text of the one above
+#: beginnings and ends of a class that tell of the page, not of the element: "has-sidebar"
+TELLING = re.compile(r"^(?:has|no|with|without)[-_]|[-_](?:enabled|disabled)$")
+DEPTH = 100  #: texts of elements nested deeper belong to the place above
+SHARE = 0.9  #: of a host's pages with some text at a place, to make it constant
+LEAST, LEAST_INSIDE = 2, 8  #: different pages that must agree, outside and inside an article
+TEASER = 4  #: times as much text beside it makes an article a mere card
+HOT = 1000  #: a host with more than this part of all pages is dealt over several tasks
+ARTICLE, MAIN, ARTICLE_DOUBT, MAIN_DOUBT, BODY, TITLE = 1, 2, 4, 8, 16, 32
+INSIDE = ARTICLE | MAIN | ARTICLE_DOUBT | MAIN_DOUBT
 
 
 class Node:
@@ -60,12 +73,12 @@ class Node:
         if attributes and "=" in attributes:
             for name, a, b, c in MARKS.findall(attributes):
                 value = (a or b or c).lower()
-                words += re.split(r"[\s_-]+", value)
+                words += [w for c in value.split() if not TELLING.search(c) for w in re.split(r"[_-]+", c)]
                 whole += value.split()
                 if name.lower() == "role":
                     role = value
                 else:
-                    self.key += "." + value
+                    self.key += "." + NUMBER.sub("0", value)
         if role == "main":
             self.tag = "main"
         self.other = tag in NEVER or (tag not in ("html", "body", "main", "article") and not OTHER.isdisjoint(words)) \
@@ -123,106 +136,145 @@ def parse(page: str) -> Node:
     return root
 
 
-def blocks_of(node: Node, inside: bool, dropped: set[int] = frozenset()) -> list[str]:
-    """Texts of the blocks below ``node`` in page order, white space made one space."""
-    out, run = [], []
+def tree_of(root: Node) -> tuple[list, dict[int, int]]:
+    """The outline, [key, children], and the place (its number in preorder) of every element.
+
+    Inline elements belong to their block's place, like neighbours share one.
+    Built bottom-up without recursion.
+    """
+    done: dict[int, tuple[list, list]] = {}
+    work = [(root, 0, False)]
+    while work:
+        here, depth, ready = work.pop()
+        inner = [k for k in here.kids if isinstance(k, Node) and k.tag not in INLINE and k.tag != "br"
+                 and not k.firm] if depth < DEPTH else []
+        if not ready:
+            work.append((here, depth, True))
+            work.extend((k, depth + 1, False) for k in inner)
+            continue
+        kids, groups = [], []
+        for kid in inner:
+            tree = done[id(kid)][0]
+            if kids and kids[-1] == tree:
+                groups[-1].append(kid)
+            else:
+                kids.append(tree)
+                groups.append([kid])
+        done[id(here)] = ([here.key, kids], groups)
+    places: dict[int, int] = {}
+    todo, number = [[root]], 0
+    while todo:
+        alike = todo.pop()
+        for node in alike:
+            places[id(node)] = number
+        number += 1
+        groups = [done[id(node)][1] for node in alike]
+        todo.extend([n for own in groups for n in own[k]] for k in reversed(range(len(groups[0]))))
+    return done[id(root)][0], places
+
+
+def blocks_of(root: Node, places: dict[int, int]) -> tuple[list[tuple[int, int, str]], bool]:
+    """((flags, place, text) of every block in page order, is there an article or main element at all?).
+
+    White space inside a block is one space.  Flags tell the elements around it;
+    what is beyond doubt no content is left out.
+    """
+    out: list[tuple[int, int, str]] = []
+    run: list[str] = []
+    owner, marked = (0, 0), False
 
     def end() -> None:
         text = WHITE.sub(" ", "".join(run)).strip()
         run.clear()
         if text:
-            out.append(text)
+            out.append((*owner, text))
 
-    work = [(node, 0)]
+    work = [(root, 0, BODY, False, 0)]
     while work:
-        here, i = work.pop()
-        if i == 0 and here is not node and here.tag not in INLINE:
-            end()
+        here, i, flags, doubt, place = work.pop()
         while i < len(here.kids):
             kid = here.kids[i]
             i += 1
             if isinstance(kid, str):
-                run.append(kid)
+                if flags:
+                    if not run or not owner[0] or not "".join(run).strip():
+                        owner = (flags, place)
+                    run.append(kid)
             elif kid.tag == "br":
                 run.append(" ")
-            elif kid.other or id(kid) in dropped or (kid.tag == "header" and not inside):
+            elif kid.firm or kid.other and flags & INSIDE:
                 if kid.tag not in INLINE:
                     end()
             else:
-                work.append((here, i))
-                work.append((kid, 0))
+                inner, unsure = flags, doubt or kid.other
+                if not flags & INSIDE and (kid.other or kid.tag == "header"):
+                    inner = 0
+                if kid.tag in ("article", "main"):
+                    marked = True
+                    inner |= {("article", False): ARTICLE, ("main", False): MAIN,
+                              ("article", True): ARTICLE_DOUBT, ("main", True): MAIN_DOUBT}[kid.tag, unsure]
+                elif kid.tag == "h1" and flags & INSIDE:
+                    inner |= TITLE
+                if kid.tag not in INLINE:
+                    end()
+                work.append((here, i, flags, doubt, place))
+                work.append((kid, 0, inner, unsure, places.get(id(kid), place)))
                 break
         else:
-            if here is node or here.tag not in INLINE:
+            if here.tag not in INLINE:
                 end()
-    return out
+    end()
+    return out, marked
 
 
-def articles(root: Node, wanted: str, firm: bool = False) -> list[Node]:
-    """Topmost elements ``wanted`` outside of what is never content; ``firm``: of what is so beyond doubt."""
-    found, work = [], [root]
-    while work:
-        node = work.pop()
-        if node.tag == wanted:
-            found.append(node)
-            continue
-        work.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not (k.firm if firm else k.other))
-    return found
+def choose(blocks: list[tuple[int, int, str]], marked: bool, template: Callable[[int, int], bool]) -> str:
+    """The content among the blocks; ``template(n, inside)`` tells whether block n is constant.
 
+    The first of these that has text and is no mere card: articles, main
+    elements, then either inside elements that only a part of a class name
+    speaks against; else everything in slots.  Content that is constant
+    throughout stays, as does an empty article's page empty.
+    """
+    slots = [n for n, (flags, _, _) in enumerate(blocks)
+             if flags & TITLE or not template(n, bool(flags & INSIDE))]
+    around = sum(len(blocks[n][2]) for n in slots if blocks[n][0] & BODY)
+    any_inside = False
+    for kind in (ARTICLE, MAIN, ARTICLE_DOUBT, MAIN_DOUBT):
+        whole = [n for n, b in enumerate(blocks) if b[0] & kind]
+        any_inside |= bool(whole)
+        own = [n for n in slots if blocks[n][0] & kind] or whole
+        if own and TEASER * sum(len(blocks[n][2]) for n in own) >= around:
+            return "\n\n".join(blocks[n][2] for n in own)
+    if marked and not any_inside:
+        return ""
+    return "\n\n".join(blocks[n][2] for n in slots if blocks[n][0] & BODY)
 
-def outline(node: Node) -> tuple[list, list]:
-    """The tree that is matched, [key, content hash, children], and the nodes behind each vertex.
 
-    Inline elements melt into the text of their block; neighbouring leaves of
-    one kind are one vertex.  Built bottom-up without recursion.
-    """
-    done: dict[int, tuple[list, list]] = {}
-    work = [(node, 0, False)]
-    while work:
-        here, depth, ready = work.pop()
-        if not ready:
-            work.append((here, depth, True))
-            if depth < DEPTH:
-                work.extend((k, depth + 1, False) for k in here.kids if isinstance(k, Node) and k.tag not in INLINE)
-            continue
-        kids, behind, check = [], [], crc32(here.key.encode())
-        for kid in here.kids:
-            if isinstance(kid, str) or kid.tag in INLINE:
-                text = kid if isinstance(kid, str) else " ".join(blocks_of(kid, True))
-                if text.strip():
-                    check = crc32(WHITE.sub(" ", text.strip()).encode("utf-8", "replace"), check)
-                continue
-            if depth >= DEPTH:
-                check = crc32(" ".join(blocks_of(kid, True)).encode("utf-8", "replace"), check)
-                continue
-            tree, nodes = done.pop(id(kid))
-            check = crc32(str(tree[1]).encode(), check)
-            if kids and not tree[2] and not kids[-1][2] and kids[-1][0] == tree[0]:
-                kids[-1][1] = crc32(str(tree[1]).encode(), kids[-1][1])
-                behind[-1][0].append(kid)
-            else:
-                kids.append(tree)
-                behind.append(([kid], nodes))
-        done[id(here)] = ([here.key, check, kids], behind)
-    return done[id(node)]
+def main_text(page: str) -> str:
+    """The main text of a page whose host has no wrapper."""
+    blocks, marked = blocks_of(parse(page), {})
+    return choose(blocks, marked, lambda n, inside: False)
 
 
 def match(a: list, b: list) -> tuple[int, list[tuple[int, int, list]]]:
     """Simple tree matching: size of the largest top-down match and the matched children."""
     if a[0] != b[0]:
         return 0, []
-    m, n = len(a[2]), len(b[2])
+    if a == b:
+        pairs = [(i, i, match(k, k)[1]) for i, k in enumerate(a[1])]
+        return 1 + sum(map(weight, a[1])), pairs
+    m, n = len(a[1]), len(b[1])
     size = [[0] * (n + 1) for _ in range(m + 1)]
     inner = {}
     for i in range(1, m + 1):
         for j in range(1, n + 1):
-            got = match(a[2][i - 1], b[2][j - 1])
-            inner[i, j] = got
-            size[i][j] = max(size[i - 1][j], size[i][j - 1], size[i - 1][j - 1] + got[0])
+            if a[1][i - 1][0] == b[1][j - 1][0]:
+                inner[i, j] = match(a[1][i - 1], b[1][j - 1])
+            size[i][j] = max(size[i - 1][j], size[i][j - 1], size[i - 1][j - 1] + inner.get((i, j), (0,))[0])
     pairs, i, j = [], m, n
     while i and j:
-        got = inner[i, j]
-        if got[0] and size[i][j] == size[i - 1][j - 1] + got[0]:
+        got = inner.get((i, j))
+        if got and size[i][j] == size[i - 1][j - 1] + got[0]:
             pairs.append((i - 1, j - 1, got[1]))
             i, j = i - 1, j - 1
         elif size[i][j] == size[i - 1][j]:
@@ -232,74 +284,115 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int, list]]]:
     return size[m][n] + 1, pairs[::-1]
 
 
-def induce(first: str, second: str) -> list | None:
-    """The wrapper of two pages: [key, content hash or 0 for a slot, children]; None if they are equal."""
-    if first == second:
-        return None
-    a, b = outline(parse(first))[0], outline(parse(second))[0]
+def weight(tree: list) -> int:
+    return 1 + sum(map(weight, tree[1]))
+
 
-    def merge(x: list, y: list, pairs: list) -> list:
-        return [x[0], x[1] if x[1] == y[1] else 0, [merge(x[2][i], y[2][j], p) for i, j, p in pairs]]
-    return merge(a, b, match(a, b)[1])
+def numbered(tree: list, first: int = 0) -> tuple[int, list]:
+    """[place, children] of an outline and the place after its last."""
+    kids, after = [], first + 1
+    for kid in tree[1]:
+        after, made = numbered(kid, after)
+        kids.append(made)
+    return after, [first, kids]
 
 
-def constants(root: Node, wrapper: list) -> set[int]:
-    """Identities of the page's nodes that fall on constant nodes of the wrapper."""
-    tree, behind = outline(root)
-    found: set[int] = set()
-    work = [(tree, behind, wrapper, match(wrapper, tree)[1])]
+def aligned(tree: list, mold: list) -> list[int]:
+    """For every place of an outline its place in the mold, or -1."""
+    count, own = numbered(tree)
+    found = [-1] * count
+    work = [(own, numbered(mold)[1], match(tree, mold)[1])]
+    found[0] = 0
     while work:
-        page, nodes, template, pairs = work.pop()
+        here, there, pairs = work.pop()
         for i, j, inner in pairs:
-            own, mold = page[2][j], template[2][i]
-            if mold[1] and mold[1] == own[1]:
-                found.update(map(id, nodes[j][0]))
-            else:
-                work.append((own, nodes[j][1], mold, inner))
+            found[here[1][i][0]] = there[1][j][0]
+            work.append((here[1][i], there[1][j], inner))
     return found
 
 
-def main_text(page: str, wrapper: list | None = None) -> str:
-    """The article's blocks joined by blank lines.
+def host_of(url: str) -> F.Column:
+    return F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"://([^/?#]*)", 1), F.lit(""))
 
-    The first of these that has text: article elements, main elements, then
-    either inside elements that only a part of a class name speaks against.
-    A page with none of them is read through its wrapper.
-    """
-    root = parse(page)
-    marked = False
-    for wanted, firm in (("article", False), ("main", False), ("article", True), ("main", True)):
-        found = articles(root, wanted, firm)
-        marked |= bool(found)
-        text = "\n\n".join(b for a in found for b in blocks_of(a, True))
-        if text:
-            return text
-    if marked:
-        return ""
-    return "\n\n".join(blocks_of(root, False, constants(root, wrapper) if wrapper else set()))
 
+def text_hash(texts: Iterable[str]) -> int:
+    made = blake2b("\n".join(texts).encode("utf-8", "replace"), digest_size=8).digest()
+    return int.from_bytes(made, "big", signed=True)
 
-def host_of(url: str) -> F.Column:
-    return F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"://([^/?#]*)", 1), F.lit(""))
 
+def survey(pages: DataFrame) -> DataFrame:
+    """(id, url, host, outline, marked, flags, spots, texts, held) of every page, parsed once.
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) of (id, host, html): one small row per host.
+    ``spots`` are the blocks' places; ``held`` pairs each place that has text
+    with a hash of all its text.
+    """
+    kind = dict(pages.dtypes)["id"]
+    schema = (f"id {kind}, url string, host string, outline string, marked boolean, flags array<int>, "
+              "spots array<int>, texts array<string>, held array<struct<place: int, hash: long>>")
+    types = [pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()),
+             pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64())]))]
 
-    The references are the two least pages of a host in two random orders; the
-    minimum combines before the shuffle, so a host with most of the pages costs
-    no more than another.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 3, 4 << 20):
+            rows = []
+            for page in batch.column(3).to_pylist():
+                root = parse(page or "")
+                tree, places = tree_of(root)
+                blocks, marked = blocks_of(root, places)
+                at: dict[int, list[str]] = {}
+                for _, place, text in blocks:
+                    at.setdefault(place, []).append(text)
+                rows.append((json.dumps(tree, separators=(",", ":")), marked, [b[0] for b in blocks],
+                             [b[1] for b in blocks], [b[2].encode("utf-8", "replace").decode() for b in blocks],
+                             [{"place": p, "hash": text_hash(t)} for p, t in at.items()]))
+            made = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made],
+                                             ["id", "url", "host", "outline", "marked", "flags", "spots", "texts", "held"])
+    return pages.select("id", "url", "host", "html").mapInArrow(run, schema)
+
+
+def wrappers(known: DataFrame, hot: DataFrame) -> DataFrame:
+    """(host, shape, to_mold, constant) of every outline of every host, from all surveyed pages.
+
+    ``to_mold`` are the mold's places for those of the outline; ``constant``
+    lists the mold's constant places with their text's hash and the pages that
+    have it.  Equal pages of a host count once.
     """
-    def least(seed: int) -> F.Column:
-        return F.min_by("html", F.xxhash64(F.lit(seed), "id", "html"))
-    pairs = pages.where("html is not null").groupBy("host").agg(least(1).alias("first"), least(2).alias("second"))
+    shapes = known.groupBy("host", "shape").agg(F.count("*").alias("n"), F.first("outline").alias("outline"))
+    molds = shapes.groupBy("host").agg(F.max_by("outline", F.struct("n", "shape")).alias("mold"))
+    pairs = dealt(shapes, hot, "shape").join(spread(molds, hot), ["host", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            made = [induce(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([m and json.dumps(m) for m in made], pa.string())], ["host", "wrapper"])
-    return pairs.mapInArrow(run, "host string, wrapper string")
+        for batch in slices(batches, 2, 4 << 20):
+            found = [aligned(json.loads(a), json.loads(b))
+                     for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))],
+                                             ["host", "shape", "to_mold"])
+    fitted = keep(pairs.select("host", "shape", "outline", "mold").mapInArrow(
+        run, "host string, shape long, to_mold array<int>"), "outlines")
+    different = known.groupBy("host", "shape", F.xxhash64("held").alias("print")).agg(F.first("held").alias("held"))
+    placed = dealt(different, hot, "print").join(spread(fitted, hot), ["host", "shape", "salt"]).select(
+        "host", "to_mold", F.explode("held").alias("one")).select(
+        "host", F.element_at("to_mold", F.col("one.place") + 1).alias("place"), F.col("one.hash").alias("hash")).where("place >= 0")
+    texts = placed.groupBy("host", "place", "hash").agg(F.count("*").alias("n"))
+    constant = texts.groupBy("host", "place").agg(
+        F.sum("n").alias("pages"), F.max("n").alias("same"), F.max_by("hash", "n").alias("hash")).where(
+        (F.col("same") >= LEAST) & (F.col("same") >= SHARE * F.col("pages"))).groupBy("host").agg(
+        F.collect_list(F.struct("place", "hash", "same")).alias("constant"))
+    return dealt(fitted, hot, "shape").join(spread(constant, hot), ["host", "salt"]).select(
+        "host", "shape", "to_mold", "constant")
+
+
+def dealt(rows: DataFrame, hot: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with a salt: a hash of ``by`` within the parts of their host."""
+    return rows.join(F.broadcast(hot), "host", "left").withColumn(
+        "salt", F.pmod(F.xxhash64(*by), F.coalesce("parts", F.lit(1)))).drop("parts")
+
+
+def spread(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` once for every part of their host."""
+    return rows.join(F.broadcast(hot), "host", "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -308,26 +401,34 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     ``text`` is the main text of the whole page, blocks in page order joined by
     two line feeds, character references decoded and white space inside a block
     made one space; empty for null or empty pages.  Pages whose url is null or
-    has no host share the empty host.  A host whose two references are the same
-    page has no template to learn.  Repeated rows are each answered; other
-    columns are not read.
+    has no host share the empty host.  A host with one page has no template to
+    learn; pages that are equal count as one.  Repeated rows are each answered;
+    other columns are not read.
+
+    Pages are parsed once; no html is shuffled.  A host with more than a
+    thousandth of all pages is dealt over tasks in proportion, so at most a
+    thousand hosts are broadcast for that.
     """
     pages = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"),
                       F.col(f"`{html_col}`").alias("html"))
-    pages = pages.withColumn("host", host_of("url"))
-    joined = pages.join(wrappers(pages), "host", "left").select("id", "url", "html", "wrapper")
+    bound_batches(df.sparkSession, "8m")
+    known = keep(survey(pages.withColumn("host", host_of("url"))), "survey").withColumn("shape", F.xxhash64("outline"))
+    total = known.count()
+    hot = keep(known.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") * HOT > total).select(
+        "host", F.ceil(F.col("n") * HOT / max(1, total)).cast("long").alias("parts")), "hot_hosts")
+    learned = wrappers(known, hot)
+    joined = dealt(known, hot, "held", "id").join(spread(learned, hot), ["host", "shape", "salt"], "left").select(
+        "id", "url", "marked", "flags", "spots", "texts", "held", "to_mold", "constant")
     kind = dict(joined.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 5, 4 << 20):
             texts = []
-            for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if wrapper is not None and wrapper not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[wrapper] = json.loads(wrapper)
-                texts.append(main_text(page, known.get(wrapper)) if page else "")
+            for marked, flags, spots, own, held, to_mold, constant in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                pages_with = {(c["place"], c["hash"]): c["same"] for c in constant or ()}
+                same = {h["place"]: pages_with.get((to_mold[h["place"]], h["hash"]), 0) for h in held} if constant else {}
+                texts.append(choose(list(zip(flags, spots, own)), marked, lambda n, inside: same.get(
+                    spots[n], 0) >= (LEAST_INSIDE if inside else LEAST)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
