@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.llm.graph import components
-from gapwise.llm.store import forget, forget_table, keep, keep_by_key, only, slices, texts_of
+from gapwise.llm.store import bound_batches, forget, forget_table, keep, keep_by_key, only, slices, texts_of
 from gapwise.llm.words import mix, shingle_sets
 
 #: 32 bands of 5 bins: a pair at 0.8 shares no band with a chance of 3 in a million.
@@ -218,6 +218,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The result does not depend on ``rounds``.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     docs = only(df, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
     signed = keep(signatures(docs, words), "signatures")
     # written numbers: they only name a node until the end

@@ -14,12 +14,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.store import slices, texts_of
+from gapwise.llm.store import bound_batches, slices, texts_of
 from gapwise.llm.words import BLANK, LOWER, prefix_sums, span_hashes, word_spans
 
 SAMPLE = 20_000  #: labelled rows at most, nearly, that the text model is fitted on
@@ -47,18 +46,20 @@ def measures(text: bytes) -> np.ndarray:
                      math.log1p(len(starts)) / 5, sizes.mean() / 10, (sizes <= 3).mean()])
 
 
-def measured(df: DataFrame, text_col: str) -> DataFrame:
-    """``df`` without its text, with the measures of it."""
+def measured(df: DataFrame, text_col: str, model: TextModel | None = None) -> DataFrame:
+    """``df`` without its text, with the measures of it or, given a model, their log-odds ``own``."""
     at = df.columns.index(text_col)
     others = [(n, t) for n, t in df.dtypes if n != text_col]
+    name, kind = ("measures", "array<double>") if model is None else ("own", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
             rows = [measures(t) for t in texts_of(batch.column(at))]
             columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.list_(pa.float64()))],
-                                             [n for n, _ in others] + ["measures"])
-    return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in others) + ", measures array<double>")
+            made = pa.array(rows, pa.list_(pa.float64())) if model is None else pa.array(
+                np.asarray(model.log_odds(np.array(rows).reshape(-1, MEASURES)), float))
+            yield pa.RecordBatch.from_arrays([*columns, made], [n for n, _ in others] + [name])
+    return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in others) + f", {name} {kind}")
 
 
 def _expanded(rows: np.ndarray) -> np.ndarray:
@@ -134,6 +135,7 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     are null or have no words are judged as having no measures.  Repeated rows
     are judged alike; a null id is never labelled.
     """
+    bound_batches(df.sparkSession)
     site = F.col("source") if site is None else site
     path = F.col("lang") if path is None else path
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
@@ -150,11 +152,7 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                       np.array([r["good"] for r in rows], float))
     per_site, per_path, rate = place_posteriors(docs.select("id", "site", "path").join(known, "id"))
     base = math.log(rate / (1 - rate))
-
-    @F.pandas_udf("double")
-    def log_odds(column: pd.Series) -> pd.Series:
-        return pd.Series(model.log_odds(np.array(column.tolist()).reshape(-1, MEASURES)))
-    scored = measured(docs, "text").withColumn("own", log_odds("measures")).drop("measures")
+    scored = measured(docs, "text", model)
     scored = (scored.join(per_path, ["site", "path"], "left").join(per_site, ["site"], "left")
               .withColumn("place_rate", F.coalesce("path_rate", "site_rate", F.lit(rate))))
     odds = F.col("own") + F.log(F.col("place_rate") / (1 - F.col("place_rate"))) - F.lit(base)

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gapwise.llm.store import bound_batches, only, slices
+from gapwise.llm.store import bound_batches, give_back, only, slices
 from gapwise.llm.viterbi_lanes import Lanes
 
 SPACE = "▁"
@@ -281,7 +281,7 @@ _coders: dict[bytes, StreamingViterbi] = {}
 
 def _coder(vocabulary: Vocabulary) -> StreamingViterbi:
     """One coder for each worker, so that what it remembers outlives a task."""
-    pa.default_memory_pool().release_unused()  # what an earlier stage's batches took
+    give_back()  # what an earlier stage's batches took
     if vocabulary.name not in _coders:
         _coders.clear()
         _coders[vocabulary.name] = StreamingViterbi(vocabulary)

@@ -6,6 +6,7 @@ re-run of what came before.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -72,8 +73,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: int,
         rows = max(1, int(batch.num_rows * most_bytes / size))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()
 
 
-def bound_batches(spark: SparkSession, size: str = "32m") -> None:
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own rules
+        pass
+
+
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bound Arrow batches by bytes too, so that wide rows never pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
