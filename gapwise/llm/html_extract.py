@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
@@ -320,16 +321,33 @@ def text_hash(texts: Iterable[str]) -> int:
     return int.from_bytes(made, "big", signed=True)
 
 
+def packed(texts: Iterable[str]) -> bytes:
+    return zlib.compress("\n".join(texts).encode("utf-8", "replace"))
+
+
+def unpacked(data: bytes, count: int) -> list[str]:
+    return zlib.decompress(data).decode().split("\n") if count else []
+
+
+def held_at(places: Iterable[int], texts: Iterable[str]) -> dict[int, int]:
+    """The hash of all text of every place that has some."""
+    at: dict[int, list[str]] = {}
+    for place, text in zip(places, texts):
+        at.setdefault(place, []).append(text)
+    return {place: text_hash(own) for place, own in at.items()}
+
+
 def survey(pages: DataFrame) -> DataFrame:
-    """(id, url, host, outline, marked, flags, spots, texts, held) of every page, parsed once.
+    """(id, url, host, outline, marked, flags, spots, packed, held) of every page, parsed once.
 
-    ``spots`` are the blocks' places; ``held`` pairs each place that has text
+    ``spots`` are the blocks' places and ``packed`` their texts, one a line (no
+    block has a line feed), compressed, because they travel twice; ``held`` pairs each place that has text
     with a hash of all its text.
     """
     kind = dict(pages.dtypes)["id"]
     schema = (f"id {kind}, url string, host string, outline string, marked boolean, flags array<int>, "
-              "spots array<int>, texts array<string>, held array<struct<place: int, hash: long>>")
-    types = [pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()),
+              "spots array<int>, packed binary, held array<struct<place: int, hash: long>>")
+    types = [pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(),
              pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,15 +357,13 @@ def survey(pages: DataFrame) -> DataFrame:
                 root = parse(page or "")
                 tree, places = tree_of(root)
                 blocks, marked = blocks_of(root, places)
-                at: dict[int, list[str]] = {}
-                for _, place, text in blocks:
-                    at.setdefault(place, []).append(text)
+                at = held_at((b[1] for b in blocks), (b[2] for b in blocks))
                 rows.append((json.dumps(tree, separators=(",", ":")), marked, [b[0] for b in blocks],
-                             [b[1] for b in blocks], [b[2].encode("utf-8", "replace").decode() for b in blocks],
-                             [{"place": p, "hash": text_hash(t)} for p, t in at.items()]))
+                             [b[1] for b in blocks], packed(b[2] for b in blocks),
+                             [{"place": p, "hash": h} for p, h in at.items()]))
             made = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made],
-                                             ["id", "url", "host", "outline", "marked", "flags", "spots", "texts", "held"])
+                                             ["id", "url", "host", "outline", "marked", "flags", "spots", "packed", "held"])
     return pages.select("id", "url", "host", "html").mapInArrow(run, schema)
 
 
@@ -417,16 +433,17 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     hot = keep(known.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") * HOT > total).select(
         "host", F.ceil(F.col("n") * HOT / max(1, total)).cast("long").alias("parts")), "hot_hosts")
     learned = wrappers(known, hot)
-    joined = dealt(known, hot, "held", "id").join(spread(learned, hot), ["host", "shape", "salt"], "left").select(
-        "id", "url", "marked", "flags", "spots", "texts", "held", "to_mold", "constant")
+    joined = dealt(known, hot, "packed", "id").join(spread(learned, hot), ["host", "shape", "salt"], "left").select(
+        "id", "url", "marked", "flags", "spots", "packed", "to_mold", "constant")
     kind = dict(joined.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 5, 4 << 20):
+        for batch in slices(batches, 5, 1 << 20):
             texts = []
-            for marked, flags, spots, own, held, to_mold, constant in zip(*(c.to_pylist() for c in batch.columns[2:])):
+            for marked, flags, spots, data, to_mold, constant in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                own = unpacked(data, len(spots))
                 pages_with = {(c["place"], c["hash"]): c["same"] for c in constant or ()}
-                same = {h["place"]: pages_with.get((to_mold[h["place"]], h["hash"]), 0) for h in held} if constant else {}
+                same = {p: pages_with.get((to_mold[p], h), 0) for p, h in held_at(spots, own).items()} if constant else {}
                 texts.append(choose(list(zip(flags, spots, own)), marked, lambda n, inside: same.get(
                     spots[n], 0) >= (LEAST_INSIDE if inside else LEAST)))
             yield pa.RecordBatch.from_arrays(
