@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.functions.linear import any_null, number, quoted, score_text
-from gapwise.models.blocks import Blocks
+from gapwise.models.blocks import Blocks, beyond_doubt, owned_sums
 from gapwise.models.linear_model import LinearModel
 from gapwise.models.moments import Moments, moments, moments_by
-from gapwise.models.newton import fit_many
+from gapwise.models.newton import SLICE, fit_packed
 from gapwise.operators.impute import adversarial_text, extreme_versions
 from gapwise.operators.profile import incomplete_columns
 from gapwise.operators.metrics import accuracy, mean_absolute_error
@@ -169,6 +169,20 @@ def lowest_of_cuts(heights: np.ndarray, slopes: np.ndarray, alpha: float, mix: n
     return float(mix @ heights - alpha / 2 * (w @ w)), w, mix
 
 
+def _shared_planes(x: np.ndarray, y: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Sum of hinge losses and its slope at every point, of rows that all versions have."""
+    left, sure, short, middle = beyond_doubt(x, y, points.T, 0.0)
+    pull = (y[sure, None] * x[sure]).sum(0)
+    out = np.column_stack([short.sum() - (points - middle) @ pull, np.tile(-pull, (len(points), 1))])
+    x, y, some = x[left], y[left], max(1, SLICE // len(points))
+    for start in range(0, len(y), some):
+        at = slice(start, start + some)
+        short = 1 - y[at, None] * (x[at] @ points.T)
+        out[:, 0] += np.maximum(short, 0).sum(0)
+        out[:, 1:] += np.where(short > 0, -y[at, None], 0.0).T @ x[at]
+    return out
+
+
 def approx_svm(df: DataFrame, key: str, features: Sequence[str], label: str, bounds: Bounds,
                versions: int = 100, seed=0, alpha: float = 1.0, steps: int = 60,
                tolerance: float = 1e-3, threshold: float | None = None) -> DataFrame:
@@ -186,21 +200,24 @@ def approx_svm(df: DataFrame, key: str, features: Sequence[str], label: str, bou
     n = df.count()
     rows = (df.filter(~gap).select(F.lit(None).cast("int").alias("version"), *columns)
             .unionByName(extreme_versions(df, key, bounds, versions, seed).select("version", *columns)))
-    trains = [F.col("version").isNull() | (F.col("version") == v) for v in range(versions)]
-    models = fit_many(rows, trains, features, label, alpha / n, intercept=False)
-    blocks, d = Blocks(rows, features, label, trains), len(features)
+    blocks, d = Blocks(rows, features, label, owner=F.col("version")), len(features)
 
     def planes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sum of hinge losses, and its slope, of version v at row v of ``points``."""
-        def part(x, y, member):
-            short = 1 - y[:, None] * (x @ points.T)
-            inside = member & (short > 0)
-            slope = np.where(inside, -y[:, None], 0.0)
-            return np.concatenate([np.where(inside, short, 0).sum(0), (slope.T @ x).ravel()])
-        found = blocks.total(part, versions * (d + 1))
-        return found[:versions], found[versions:].reshape(versions, d)
+        def part(x, y, owner):
+            shared = owner < 0
+            out = _shared_planes(x[shared], y[shared], points)
+            x, y, owner = x[~shared], y[~shared], owner[~shared]
+            short = 1 - y * np.einsum("ij,ij->i", x, points[owner])
+            who, sums = owned_sums(owner, np.column_stack(
+                [np.maximum(short, 0), np.where(short > 0, -y, 0.0)[:, None] * x]))
+            out[who] += sums
+            return out.ravel()
+        found = blocks.total(part, versions * (d + 1)).reshape(versions, d + 1)
+        return found[:, 0], found[:, 1:]
 
     try:
+        models = fit_packed(blocks, versions, features, alpha / n, intercept=False)
         own = np.array([m.weights for m in models])
         best = planes(own)[0] + alpha / 2 * (own * own).sum(axis=1)
         w, bound, mix = own.mean(axis=0), -np.inf, np.zeros(0)

@@ -1,7 +1,7 @@
 """Rows packed as blocks of doubles, for learners that pass over them many times.
 
-A block is one row of three byte strings (features, labels, memberships) of at
-most a few megabytes, kept in memory or on disk.  A pass hands every block to a
+A block is one row of three byte strings (features, labels, memberships or
+owners) of at most a few megabytes, kept in memory or on disk.  A pass hands every block to a
 numpy function; a task adds up what its blocks give and the tasks' vectors are
 added up in Spark, cut into chunks when they are long.
 """
@@ -30,14 +30,21 @@ def _doubles(raw: bytes, width: int) -> np.ndarray:
 
 
 class Blocks:
-    """The rows that a learner reads: features, label and which of its models a row trains."""
+    """The rows that a learner reads: features, label and which of its models a row trains.
+
+    ``members`` are predicates, one for each model.  Where a row trains either one
+    model or all of them, ``owner`` is its model's number, or NULL for all; a block
+    then holds one number a row, in rising order, and -1 for NULL.
+    """
 
     def __init__(self, df: DataFrame, features: Sequence[str], label: str, members: Sequence[Column] = (),
-                 held: bool = True):
-        self.width, self.models = len(features), len(members)
-        width = self.width
+                 held: bool = True, owner: Column | None = None):
+        self.width, self.models, self.owned = len(features), len(members), owner is not None
+        width, owned = self.width, self.owned
         cells = F.array(*[F.expr(f"cast({quoted(f)} AS double)") for f in features])
         marks = F.array(*[m.cast("boolean") for m in members]) if members else F.lit(None).cast("array<boolean>")
+        if owned:
+            marks = F.array(F.coalesce(owner.cast("int"), F.lit(-1)))
         rows = df.select(cells.alias("x"), F.expr(f"cast({quoted(label)} AS double)").alias("y"), marks.alias("m"))
         some = max(1, BLOCK_BYTES // (8 * (width + 1)))
 
@@ -47,9 +54,14 @@ class Blocks:
                     batch = whole.slice(start, some)
                     x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                     y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-                    marks = batch.column(2).flatten().fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+                    if owned:
+                        marks = batch.column(2).flatten().to_numpy().astype(np.int32)
+                        order = np.argsort(marks, kind="stable")
+                        x, y, marks = x.reshape(-1, width)[order], y[order], marks[order]
+                    else:
+                        marks = np.packbits(batch.column(2).flatten().fill_null(False).to_numpy(zero_copy_only=False).astype(bool))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([v.tobytes()], pa.binary()) for v in (x, y, np.packbits(marks))], ["x", "y", "m"])
+                        [pa.array([v.tobytes()], pa.binary()) for v in (x, y, marks)], ["x", "y", "m"])
         packed = rows.mapInArrow(pack, "x binary, y binary, m binary")
         self.rows = packed.persist(StorageLevel.MEMORY_AND_DISK) if held else packed
 
@@ -58,7 +70,7 @@ class Blocks:
 
     def total(self, part: Part, size: int) -> np.ndarray:
         """The sum over all blocks of the vectors (``size`` doubles) that ``part`` makes of them."""
-        each, chunk = _reader(self.width, self.models), CHUNK
+        each, chunk = _reader(self.width, self.models, self.owned), CHUNK
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value = None
@@ -88,14 +100,35 @@ class Blocks:
         return out
 
 
-def _reader(width: int, models: int):
+def beyond_doubt(cells: np.ndarray, y: np.ndarray, points: np.ndarray, width: float):
+    """Rows that no point's margin cuts: (open rows, sure rows, 1 - y f of the sure ones at the mean point, that point).
+
+    Points lie in a box about their mean, so a row's 1 - y f moves by at most
+    |cells| . (half the box).  Sure rows keep it at ``width`` or more at every
+    point, where the smoothed hinge is linear; rows that are neither keep it
+    at 0 or less and have no loss.  Where the points are close, few are open.
+    """
+    middle = points.mean(axis=1)
+    reach = np.abs(cells) @ np.abs(points - middle[:, None]).max(axis=1)
+    short = 1 - y * (cells @ middle)
+    sure = short - reach >= width
+    return ~sure & (short + reach > 0), sure, short[sure], middle
+
+
+def owned_sums(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owners, sum of each one's values) of rows in the order of their owners."""
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, int)
+    return owner[first], np.add.reduceat(values, first, axis=0) if len(owner) else values
+
+
+def _reader(width: int, models: int, owned: bool = False):
     """How a task reads blocks, without the session that :class:`Blocks` holds."""
     def each(batches):
         for batch in batches:
             for x, y, m in zip(*[c.to_pylist() for c in batch.columns]):
                 y = np.frombuffer(y, np.float64)
                 yield (_doubles(x, width) if width else np.zeros((len(y), 0)), y,
-                       np.unpackbits(np.frombuffer(m, np.uint8), count=len(y) * models).astype(bool).reshape(len(y), models))
+                       np.frombuffer(m, np.int32) if owned else np.unpackbits(np.frombuffer(m, np.uint8), count=len(y) * models).astype(bool).reshape(len(y), models))
     return each
 
 

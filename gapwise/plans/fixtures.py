@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gapwise.operators.sample import blank_at_rate
 from gapwise.plans.registry import load
+from gapwise.session import spread
 from gapwise.sources.generators import svm_table
 
 GAP_RATE = 0.05
@@ -117,7 +118,8 @@ SVM_FEATURES = ["x0", "x1", "x2"]
 
 def svm_gaps(spark: SparkSession, folder: str, gap: str = "x0", low: float = 0.25) -> DataFrame:
     """Mirrored two-class table keyed by part; gaps in one feature."""
-    return svm_table(load(spark, folder, "part"), "p_partkey", 3, GAP_RATE, "gs", low, 1.0, gap)
+    keys = spread(load(spark, folder, "part").select("p_partkey"))
+    return svm_table(keys, "p_partkey", 3, GAP_RATE, "gs", low, 1.0, gap)
 
 
 def _svm_sql(gap: str) -> str:

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from gapwise.models import approx, blocks, conjugate
 from gapwise.models.certain import check_cubic_svm
-from gapwise.models.newton import fit_many
+from gapwise.models.newton import fit_many, fit_packed
 from gapwise.models.ols import fit_ols
 from gapwise.models.svm import fit_cubic_svm, fit_svm
 from gapwise.operators.impute import extreme_versions
 from gapwise.operators.profile import repair_bounds
+from gapwise.plans import fixtures as fx
 from gapwise.plans.experiments import check_corruptions
 from gapwise.operators.sample import make_dirty
 
@@ -166,3 +167,36 @@ def test_learners_without_rows(spark):
     empty, full = fit_many(df, [F.lit(False), F.lit(True)], names, "y", 1e-2)
     assert empty.info["n"] == 0 and not any(empty.weights) and full.info["n"] == 40
     assert conjugate.fit_linear(df, names, "y", 1e-2).info["n"] == 40
+
+
+@pytest.mark.parametrize("width", [3, 20])
+def test_owned_rows_train_as_their_predicates_say(spark, width):
+    draw = np.random.default_rng(5)
+    names = [f"x{i}" for i in range(width)]
+    x = draw.normal(size=(600, width))
+    y = np.sign(x[:, 0] + 0.3 * draw.normal(size=600))
+    rows = [(int(i), None if i % 3 else int(draw.integers(0, 4)), *map(float, a), float(b))
+            for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id bigint, v int, " + ", ".join(f"{n} double" for n in names) + ", y double").repartition(3)
+    trains = [F.col("v").isNull() | (F.col("v") == v) for v in range(4)]
+    packed = blocks.Blocks(df, names, "y", owner=F.col("v"))
+    owned = fit_packed(packed, 4, names, 1e-2)
+    packed.close()
+    for one, other in zip(owned, fit_many(df, trains, names, "y", 1e-2)):
+        assert one.info == other.info
+        assert np.allclose(one.weights, other.weights, atol=1e-9) and np.isclose(one.intercept, other.intercept, atol=1e-9)
+
+
+def test_rows_beyond_doubt_have_the_same_side_at_every_point():
+    draw = np.random.default_rng(6)
+    cells, y = draw.normal(size=(500, 3)), np.sign(draw.normal(size=500))
+    points = np.array([[2.0], [1.0], [0.5]]) + 0.1 * draw.normal(size=(3, 8))
+    left, sure, short, middle = blocks.beyond_doubt(cells, y, points, 0.4)
+    every = 1 - y[:, None] * (cells @ points)
+    assert (every[sure] >= 0.4).all() and (every[~sure & ~left] <= 0).all() and 0 < left.sum() < 250
+    assert np.allclose(short, 1 - y[sure] * (cells[sure] @ middle))
+
+
+def test_a_short_file_makes_work_for_all_cores(spark, folder):
+    tasks = spark.sparkContext.defaultParallelism
+    assert fx.svm_gaps(spark, folder).rdd.getNumPartitions() >= tasks
