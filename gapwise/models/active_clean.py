@@ -9,10 +9,14 @@ beyond that it stays a table and every update is a Spark aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ from gapwise.models.descent import SLOPE_ARRAYS, slope_sums
 from gapwise.operators.impute import impute_tiny_random
 from gapwise.operators.profile import incomplete_columns
 from gapwise.operators.sample import sample_with_replacement
-from gapwise.session import cut_lineage
+from gapwise.session import cut_lineage, shared_folder
 
 # Fixed values of the studied workflow.
 BATCH = 50
@@ -29,6 +33,7 @@ TOTAL = 10_000
 DIRTY_THRESHOLD = 0.90
 DRIVER_SAMPLE = 20_000
 CUT_EVERY = 8
+RUNS_AT_ONCE = 8
 
 
 def prepare(df: DataFrame, key: str, features: Sequence[str], label: str, seed,
@@ -68,6 +73,69 @@ def filter_pool(pool: DataFrame, features: Sequence[str], weights: Sequence[floa
     raise ValueError(f"unknown mode {mode}")
 
 
+class _Pool:
+    """Rows left to draw from: a held table, the keys drawn and the linear filters so far.
+
+    Both travel to the tasks as data, so a step compiles no new code and the
+    plan does not grow; draws look at them only for rows that may be drawn.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, features: Sequence[str], threshold: float, mode: str):
+        if mode not in ("reference", "keep_dirty"):
+            raise ValueError(f"unknown mode {mode}")
+        self.rows, self.key, self.features, self.mode = rows, key, list(features), mode
+        self.level = float(np.log(1.0 / threshold - 1.0))  # 1 / (1 + exp(f)) < threshold above it
+        self.keys: list = []
+        self.lines: list[np.ndarray] = []
+
+    def drop(self, keys: list) -> None:
+        self.keys += keys
+
+    def keep(self, weights: np.ndarray, intercept: float) -> None:
+        self.lines.append(np.append(weights, intercept))
+
+    def _left(self):
+        """Which rows of an Arrow batch are left.  NULL is no key and has no score, as in a filter."""
+        key, features, level, above = self.key, self.features, self.level, self.mode == "reference"
+        lines, keys = np.array(self.lines).reshape(-1, len(features) + 1), list(dict.fromkeys(self.keys))
+
+        def left(batch: pa.RecordBatch) -> np.ndarray:
+            good = np.full(batch.num_rows, None not in keys)
+            if keys and good.any():
+                column = batch.column(key)
+                drawn = pc.is_in(column, value_set=pa.array(keys, column.type))
+                good &= pc.and_(pc.is_valid(column), pc.invert(drawn)).to_numpy(zero_copy_only=False)
+            if len(lines):
+                cells = np.column_stack([batch.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in features])
+                for f in features:
+                    good &= batch.column(f).is_valid().to_numpy(zero_copy_only=False)
+                below = cells @ lines[:, :-1].T + lines[:, -1] > level
+                good &= below.all(axis=1) if above else ~below.any(axis=1)
+            return good
+        return left
+
+    def only(self, rows: DataFrame) -> DataFrame:
+        """Those of the rows that are left."""
+        left = self._left()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(left(batch)))
+        return rows.mapInArrow(run, rows.schema)
+
+    def count(self) -> int:
+        left = self._left()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = sum(int(left(batch).sum()) for batch in batches)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+        counts = self.rows.select(self.key, *self.features).mapInArrow(run, "n long")
+        return counts.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+
+    def draw(self, seed, batch: int, left: int) -> DataFrame:
+        return sample_with_replacement(self.rows, self.key, seed, batch, left, self.only)
+
+
 @dataclass
 class _Learner:
     """Weights plus a few gradient steps on whichever form the sample has."""
@@ -202,34 +270,39 @@ def active_clean(prepared: DataFrame, key: str, features: Sequence[str], label:
                  classifier_steps: int = 100, model_steps: int = 5, first_steps: int = 200,
                  mode: str = "reference") -> tuple[int, float | None]:
     """(dirty rows drawn after the initial batch, score on the clean sampled rows)."""
-    features = list(features)
+    return _clean(cut_lineage(prepared), key, list(features), label, seed, task, batch, total, threshold,
+                  stop_below, classifier_steps, model_steps, first_steps, mode)
+
+
+def _clean(rows: DataFrame, key: str, features: list[str], label: str, seed, task: str = "regression",
+           batch: int = BATCH, total: int = TOTAL, threshold: float = DIRTY_THRESHOLD, stop_below: int = BATCH,
+           classifier_steps: int = 100, model_steps: int = 5, first_steps: int = 200,
+           mode: str = "reference") -> tuple[int, float | None]:
+    """:func:`active_clean` of rows that are cheap to read again."""
     d = len(features)
     loss, l2 = ("hinge", 1e-6) if task == "classification" else ("squared", 0.0)
     model, detector = _Learner(loss, l2, np.zeros(d)), _Learner("log", 1e-6, np.zeros(d))
-    pool = cut_lineage(prepared)
     training, labelled = (_Sample(key, features, label, total) for _ in range(2))
 
-    drawn = sample_with_replacement(pool, key, f"{seed}/0", batch)
+    drawn = sample_with_replacement(rows, key, f"{seed}/0", batch)
     keys, _ = training.add(drawn)
     training.fit_model(model, first_steps)
-    pool = pool.filter(~F.col(key).isin(keys))
+    pool = _Pool(rows, key, features, threshold, mode)
+    pool.drop(keys)
 
     cleaned, left = 0, pool.count()
     for step, _ in enumerate(range(batch, total, batch), start=1):
-        drawn = sample_with_replacement(pool, key, f"{seed}/{step}", batch, left)
+        drawn = pool.draw(f"{seed}/{step}", batch, left)
         keys, dirty = labelled.add(drawn)
         if training.small:
             _copy_last(labelled, training, len(keys))
         else:
             training.add(drawn)
         cleaned += int(dirty)
-        pool = pool.filter(~F.col(key).isin(keys))
+        pool.drop(keys)
         if labelled.fit_classifier(detector, classifier_steps):
-            pool = filter_pool(pool, features, detector.weights, detector.intercept, threshold,
-                               mode)
+            pool.keep(detector.weights, detector.intercept)
         training.fit_model(model, model_steps)
-        if step % CUT_EVERY == 0:
-            pool = cut_lineage(pool)
         left = pool.count()
         if left < stop_below:
             break
@@ -245,12 +318,22 @@ def _copy_last(source: _Sample, target: _Sample, rows: int):
 
 def active_clean_runs(prepared: DataFrame, key: str, features: Sequence[str], label: str,
                       seeds: Sequence[int], **options) -> DataFrame:
-    """One row per repetition."""
-    kept = cut_lineage(prepared)
-    rows = []
-    for seed in seeds:
-        cleaned, score = active_clean(kept, key, features, label, seed, **options)
-        rows.append((int(seed), cleaned, score))
+    """One row per repetition.
+
+    Repetitions share one held table and run side by side, since each is a
+    chain of short jobs.
+    """
+    shared_folder(prepared.sparkSession)
+    kept = prepared.select(key, *features, label, "is_dirty").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def run(seed) -> tuple:
+        return (int(seed), *_clean(kept, key, list(features), label, seed, **options))
+    try:
+        kept.count()  # held once, not by every repetition
+        with ThreadPoolExecutor(min(RUNS_AT_ONCE, max(1, len(seeds)))) as side_by_side:
+            rows = list(side_by_side.map(run, seeds))
+    finally:
+        kept.unpersist()
     return prepared.sparkSession.createDataFrame(
         rows, "seed int, n_cleaned bigint, score double")
 

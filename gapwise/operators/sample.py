@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.functions.hashing import driver_digest, driver_uniform, hash_rank, uniform
+from gapwise.functions.hashing import RANK_BITS, digest, driver_digest, driver_uniform, hash_rank, uniform
 from gapwise.operators.rows import dense_ids
 from gapwise.operators.select_rank import hash_cutoff, share_of
 
@@ -41,23 +41,27 @@ def sample_rows(df: DataFrame, key: str, seed, k: int) -> DataFrame:
 
 
 def sample_with_replacement(df: DataFrame, key: str, seed, k: int,
-                            n: int | None = None) -> DataFrame:
+                            n: int | None = None, only=None) -> DataFrame:
     """k uniform draws with replacement; column ``n_draws`` is the multiplicity.
 
     The draws are positions in a random permutation of the rows.  Only how many
     draws fall on the same position matters, because any set of distinct
     positions of a random permutation is a uniform random set of rows: the i-th
     smallest drawn position is served by the i-th row in hash order.  Pass the
-    row count ``n`` if it is known.
+    row count ``n`` if it is known.  ``only``, a function of tables, keeps the rows
+    that take part; it is applied to no more rows than needed.
     """
+    if only is not None and (n is None or k > TOP_ROWS):
+        df, only = only(df), None
     n = df.count() if n is None else n
     if n == 0:
+        df = df if only is None else only(df)
         return df.withColumn("n_draws", F.lit(0).cast("bigint"))
     if k <= TOP_ROWS:
         hits = Counter(int(driver_uniform(seed, "draw", j) * n) for j in range(k))
         times = [hits[p] for p in sorted(hits)]
         # one top-k job; the batch itself, at most TOP_ROWS rows, is the result
-        rows = df.orderBy(hash_rank(seed, key), F.col(key)).limit(len(times)).collect()
+        rows = _first_in_hash_order(df, key, seed, len(times), n, only or (lambda rows: rows))
         schema = T.StructType([*df.schema.fields, T.StructField("n_draws", T.LongType())])
         return df.sparkSession.createDataFrame(
             [(*r, c) for r, c in zip(rows, times)], schema)
@@ -72,6 +76,22 @@ def sample_with_replacement(df: DataFrame, key: str, seed, k: int,
         "slot", "hash_order")
 
 
+def _first_in_hash_order(df: DataFrame, key: str, seed, k: int, n: int, only) -> list:
+    """The k rows of about n that come first in hash order.
+
+    Only rows below a bound that some 16 k of them pass are ranked; a rank is
+    the head of the digest, so digests compare as ranks do.  Where fewer than k
+    pass, all rows are ranked.
+    """
+    order, share = [hash_rank(seed, key), F.col(key)], 16.0 * k / n
+    if share < 0.5:
+        bound = f"{int(share * 2 ** RANK_BITS):0{RANK_BITS // 4}x}"
+        rows = only(df.filter(digest(seed, key) < F.lit(bound))).orderBy(*order).limit(k).collect()
+        if len(rows) == k:
+            return rows
+    return only(df).orderBy(*order).limit(k).collect()
+
+
 def pick_column(columns: Sequence[str], seed) -> str:
     """One column name, uniformly at random."""
     return min(columns, key=lambda c: driver_digest(seed, "column", c))

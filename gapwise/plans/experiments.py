@@ -129,6 +129,7 @@ def compare_regression(train: DataFrame, test: DataFrame, key: str, features: Se
     The baselines have the model class of the certain model, least squares
     without intercept, unless ``intercept`` is set.
     """
+    train, test = _held(train, key, features, label), _held(test, key, features, label)
     complete_test = test.na.drop("any", subset=list(features))
 
     def score_of(fitted_on: DataFrame) -> float:
@@ -146,6 +147,7 @@ def compare_classification(train: DataFrame, test: DataFrame, key: str, features
                            methods: Sequence[str] = ("certain", "knn", "mean", "delete",
                                                      "active_clean")) -> DataFrame:
     """(method, metric, score): ``accuracy`` of a linear SVM on complete test rows."""
+    train, test = _held(train, key, features, label), _held(test, key, features, label)
     complete_test = test.na.drop("any", subset=list(features))
 
     def score_of(fitted_on: DataFrame) -> float:
@@ -160,6 +162,20 @@ def compare_classification(train: DataFrame, test: DataFrame, key: str, features
 
 def _compare(train, test, key, features, label, seed, runs, total, methods, task,
              score_of: Callable[[DataFrame], float], certain: Callable[[], DataFrame]):
+    try:
+        return _table(train, _scores(train, key, features, label, seed, runs, total, methods, task,
+                                     score_of, certain))
+    finally:
+        train.unpersist()
+        test.unpersist()
+
+
+def _held(df: DataFrame, key: str, features: Sequence[str], label: str) -> DataFrame:
+    """The columns a comparison reads; every method reads them several times."""
+    return df.select(key, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _scores(train, key, features, label, seed, runs, total, methods, task, score_of, certain) -> list[tuple]:
     gaps = incomplete_columns(train, features)
     rows = []
     for method in methods:
@@ -181,6 +197,6 @@ def _compare(train, test, key, features, label, seed, runs, total, methods, task
             raise ValueError(f"unknown method {method}")
         metric = "accuracy" if task == "classification" else "r2" if method == "active_clean" else "mse"
         rows.append((method, metric, score))
-    return _table(train, rows)
+    return rows
 
 

@@ -67,10 +67,10 @@ PART = (f"pm AS (SELECT p_partkey, p_size::DOUBLE / 50.0 AS size, "
 
 def order_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """orders as a learning table: two features with gaps, label y linear in them plus month."""
-    rows = load(spark, folder, "orders").select(
+    rows = spread(load(spark, folder, "orders").select(
         "o_orderkey", (F.col("o_totalprice") / 100000.0).alias("total"),
         F.substring("o_orderpriority", 1, 1).cast("double").alias("urgency"),
-        F.month("o_orderdate").cast("double").alias("month"))
+        F.month("o_orderdate").cast("double").alias("month")))
     rows = rows.withColumn("y", F.col("total") - F.lit(0.5) * F.col("urgency")
                            + F.lit(0.01) * F.col("month"))
     rows = blank_at_rate(rows, ["o_orderkey"], "total", GAP_RATE, "total")

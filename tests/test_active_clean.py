@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapwise.models import active_clean as ac
-from gapwise.operators.sample import blank_at_rate
+from gapwise.operators.sample import blank_at_rate, sample_with_replacement
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +55,29 @@ def test_stops_when_the_pool_is_used_up(spark, prepared):
     cleaned, _ = ac.active_clean(prepared.filter("id < 90"), "id", ["a", "b"], "y", 3, batch=30,
                                  total=100_00, stop_below=30, classifier_steps=3)
     assert 0 <= cleaned <= 90
+
+
+@pytest.mark.parametrize("mode", ["reference", "keep_dirty"])
+def test_pool_as_data_keeps_what_filters_keep(spark, prepared, mode):
+    data = prepared.unionByName(prepared.limit(1).withColumn("id", F.lit(None).cast("bigint")))
+    pool, chain = ac._Pool(data, "id", ["a", "b"], 0.9, mode), data
+    assert pool.count() == 401
+    for keys, weights, bias in (([3, 5], [3.0, 0.5], -4.0), ([7, 5], [-1.0, -2.0], 0.5)):
+        pool.drop(keys)
+        pool.keep(np.array(weights), bias)
+        chain = ac.filter_pool(chain.filter(~F.col("id").isin(keys)), ["a", "b"], weights, bias, 0.9, mode)
+        expected = sorted(r["id"] for r in chain.collect())
+        assert pool.count() == len(expected)
+        assert sorted(r["id"] for r in pool.only(data).collect()) == expected
+    n = len(expected)
+    drawn = sorted(tuple(r) for r in pool.draw("s", 5, n).collect())
+    assert drawn == sorted(tuple(r) for r in sample_with_replacement(chain, "id", "s", 5, n).collect())
+    pool.drop([None])
+    assert pool.count() == 0
+
+
+def test_repetitions_side_by_side_equal_single_ones(prepared):
+    options = dict(batch=30, total=120, stop_below=30)
+    runs = ac.active_clean_runs(prepared, "id", ["a", "b"], "y", [4, 5], **options).collect()
+    for row, seed in zip(runs, (4, 5)):
+        assert tuple(row) == (seed, *ac.active_clean(prepared, "id", ["a", "b"], "y", seed, **options))
