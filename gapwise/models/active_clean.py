@@ -20,11 +20,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapwise.functions.digests import Keys, pack_rows, to_stream, unpacked
 from gapwise.functions.linear import any_null, score_text
 from gapwise.models.descent import SLOPE_ARRAYS, slope_sums
 from gapwise.operators.impute import impute_tiny_random
 from gapwise.operators.profile import incomplete_columns
-from gapwise.operators.sample import sample_with_replacement
+from gapwise.operators.sample import TOP_ROWS, draw_times, sample_with_replacement
 from gapwise.session import cut_lineage, shared_folder
 
 # Fixed values of the studied workflow.
@@ -135,6 +136,41 @@ class _Pool:
     def draw(self, seed, batch: int, left: int) -> DataFrame:
         return sample_with_replacement(self.rows, self.key, seed, batch, left, self.only)
 
+    def ahead(self, packed: DataFrame, seed, most: int) -> tuple[int, list[tuple]]:
+        """(rows left, the first ``most`` of them in the hash order of the next draw), in one pass over packed rows."""
+        left, key = self._left(), self.key
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, best = 0, []
+            for block in unpacked(batches):
+                kept = block.filter(pa.array(left(block)))
+                n += kept.num_rows
+                if kept.num_rows:
+                    ranks = Keys(kept.column(kept.num_columns - 1)).ranks(seed).astype(np.int64)
+                    best = [_lowest(pa.Table.from_batches([kept]).append_column("rank_", pa.array(ranks)), key, most), *best]
+                    best = [_lowest(pa.concat_tables(best), key, most)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n], pa.int64()), pa.array([to_stream(best[0]) if best else None], pa.binary())], ["n", "rows"])
+        found = packed.mapInArrow(run, "n long, rows binary").toArrow().to_pylist()
+        parts = [pa.ipc.open_stream(r["rows"]).read_all() for r in found if r["rows"] is not None]
+        rows = _lowest(pa.concat_tables(parts), key, most) if parts else None
+        return sum(r["n"] for r in found), ([tuple(r.values())[:-2] for r in rows.to_pylist()] if parts else [])
+
+
+def _packed(rows: DataFrame, key: str, features: Sequence[str], label: str) -> DataFrame:
+    """What the steps read, held in blocks: (key, features, label, is_dirty, key as text)."""
+    return pack_rows(rows.select(key, *features, label, "is_dirty", F.col(key).cast("string").alias("text_"))).persist(
+        StorageLevel.MEMORY_AND_DISK)
+
+
+def _lowest(rows: pa.Table, key: str, most: int) -> pa.Table:
+    """The rows that come first by rank, then key, NULL first."""
+    if rows.num_rows > most:
+        ranks = rows.column("rank_").to_numpy()
+        rows = rows.filter(pa.array(ranks <= np.partition(ranks, most - 1)[most - 1]))
+    order = pc.sort_indices(rows, [("rank_", "ascending"), (key, "ascending")], null_placement="at_start")
+    return rows.take(order[:most])
+
 
 @dataclass
 class _Learner:
@@ -201,15 +237,8 @@ class _Sample:
     def add(self, drawn: DataFrame) -> tuple[list, int]:
         """Returns (drawn keys, dirty draws)."""
         if self.small:
-            rows = drawn.select(self.key, *self.features, self.label, "is_dirty",
-                                "n_draws").collect()  # one batch
-            d = len(self.features)
-            self.x = np.vstack([self.x, np.array([r[1:1 + d] for r in rows],
-                                                 float).reshape(-1, d)])
-            self.y = np.append(self.y, [float(r[1 + d]) for r in rows])
-            self.dirty = np.append(self.dirty, [bool(r[2 + d]) for r in rows]).astype(bool)
-            self.times = np.append(self.times, [float(r[3 + d]) for r in rows])
-            return [r[0] for r in rows], sum(r[3 + d] for r in rows if r[2 + d])
+            return self.add_rows(drawn.select(self.key, *self.features, self.label, "is_dirty",
+                                              "n_draws").collect())  # one batch
         self.parts += 1
         part = cut_lineage(drawn.withColumn("copy_", F.explode(F.sequence(
             F.lit(1), F.col("n_draws").cast("int")))).drop("copy_", "n_draws"))
@@ -219,6 +248,15 @@ class _Sample:
         rows = part.select(self.key, "is_dirty").collect()  # one batch
         return sorted({r[0] for r in rows}), sum(r[1] for r in rows)
 
+    def add_rows(self, rows: Sequence[tuple]) -> tuple[list, int]:
+        """:meth:`add` of (key, features, label, is_dirty, n_draws) to the arrays."""
+        d = len(self.features)
+        self.x = np.vstack([self.x, np.array([r[1:1 + d] for r in rows], float).reshape(-1, d)])
+        self.y = np.append(self.y, [float(r[1 + d]) for r in rows])
+        self.dirty = np.append(self.dirty, [bool(r[2 + d]) for r in rows]).astype(bool)
+        self.times = np.append(self.times, [float(r[3 + d]) for r in rows])
+        return [r[0] for r in rows], sum(r[3 + d] for r in rows if r[2 + d])
+
     def fit_classifier(self, learner: _Learner, steps: int) -> bool:
         if self.small:
             if not self.dirty.any():
@@ -270,30 +308,48 @@ def active_clean(prepared: DataFrame, key: str, features: Sequence[str], label:
                  classifier_steps: int = 100, model_steps: int = 5, first_steps: int = 200,
                  mode: str = "reference") -> tuple[int, float | None]:
     """(dirty rows drawn after the initial batch, score on the clean sampled rows)."""
-    return _clean(cut_lineage(prepared), key, list(features), label, seed, task, batch, total, threshold,
-                  stop_below, classifier_steps, model_steps, first_steps, mode)
+    rows = cut_lineage(prepared)
+    packed = _packed(rows, key, features, label)
+    try:
+        return _clean(rows, packed, key, list(features), label, seed, task, batch, total, threshold,
+                      stop_below, classifier_steps, model_steps, first_steps, mode)
+    finally:
+        packed.unpersist()
 
 
-def _clean(rows: DataFrame, key: str, features: list[str], label: str, seed, task: str = "regression",
+def _clean(rows: DataFrame, packed: DataFrame, key: str, features: list[str], label: str, seed, task: str = "regression",
            batch: int = BATCH, total: int = TOTAL, threshold: float = DIRTY_THRESHOLD, stop_below: int = BATCH,
            classifier_steps: int = 100, model_steps: int = 5, first_steps: int = 200,
            mode: str = "reference") -> tuple[int, float | None]:
-    """:func:`active_clean` of rows that are cheap to read again."""
+    """:func:`active_clean` of rows that are cheap to read again.
+
+    With a small sample, one pass over the packed rows counts those left and
+    brings the rows that the next draw may take.
+    """
     d = len(features)
     loss, l2 = ("hinge", 1e-6) if task == "classification" else ("squared", 0.0)
     model, detector = _Learner(loss, l2, np.zeros(d)), _Learner("log", 1e-6, np.zeros(d))
     training, labelled = (_Sample(key, features, label, total) for _ in range(2))
+    pool = _Pool(rows, key, features, threshold, mode)
+    short = training.small and batch <= TOP_ROWS
+    steps = len(range(batch, total, batch))
+
+    def look(step: int) -> tuple[int, list[tuple]]:
+        return pool.ahead(packed, f"{seed}/{step}", batch) if short else (pool.count(), [])
 
-    drawn = sample_with_replacement(rows, key, f"{seed}/0", batch)
-    keys, _ = training.add(drawn)
+    def taken(step: int) -> list[tuple]:
+        return [(*r, n) for r, n in zip(next_rows, draw_times(f"{seed}/{step}", batch, left))]
+
+    left, next_rows = look(0)
+    keys, _ = training.add_rows(taken(0)) if short else training.add(pool.draw(f"{seed}/0", batch, left))
     training.fit_model(model, first_steps)
-    pool = _Pool(rows, key, features, threshold, mode)
     pool.drop(keys)
 
-    cleaned, left = 0, pool.count()
-    for step, _ in enumerate(range(batch, total, batch), start=1):
-        drawn = pool.draw(f"{seed}/{step}", batch, left)
-        keys, dirty = labelled.add(drawn)
+    cleaned = 0
+    left, next_rows = look(1)
+    for step in range(1, steps + 1):
+        drawn = None if short else pool.draw(f"{seed}/{step}", batch, left)
+        keys, dirty = labelled.add_rows(taken(step)) if short else labelled.add(drawn)
         if training.small:
             _copy_last(labelled, training, len(keys))
         else:
@@ -303,7 +359,7 @@ def _clean(rows: DataFrame, key: str, features: list[str], label: str, seed, tas
         if labelled.fit_classifier(detector, classifier_steps):
             pool.keep(detector.weights, detector.intercept)
         training.fit_model(model, model_steps)
-        left = pool.count()
+        left, next_rows = look(step + 1)
         if left < stop_below:
             break
     return cleaned, training.score(model, task)
@@ -326,13 +382,16 @@ def active_clean_runs(prepared: DataFrame, key: str, features: Sequence[str], la
     shared_folder(prepared.sparkSession)
     kept = prepared.select(key, *features, label, "is_dirty").persist(StorageLevel.MEMORY_AND_DISK)
 
+    packed = _packed(kept, key, features, label)
+
     def run(seed) -> tuple:
-        return (int(seed), *_clean(kept, key, list(features), label, seed, **options))
+        return (int(seed), *_clean(kept, packed, key, list(features), label, seed, **options))
     try:
-        kept.count()  # held once, not by every repetition
+        packed.count()  # held once, not by every repetition
         with ThreadPoolExecutor(min(RUNS_AT_ONCE, max(1, len(seeds)))) as side_by_side:
             rows = list(side_by_side.map(run, seeds))
     finally:
+        packed.unpersist()
         kept.unpersist()
     return prepared.sparkSession.createDataFrame(
         rows, "seed int, n_cleaned bigint, score double")

@@ -58,8 +58,7 @@ def sample_with_replacement(df: DataFrame, key: str, seed, k: int,
         df = df if only is None else only(df)
         return df.withColumn("n_draws", F.lit(0).cast("bigint"))
     if k <= TOP_ROWS:
-        hits = Counter(int(driver_uniform(seed, "draw", j) * n) for j in range(k))
-        times = [hits[p] for p in sorted(hits)]
+        times = draw_times(seed, k, n)
         # one top-k job; the batch itself, at most TOP_ROWS rows, is the result
         rows = _first_in_hash_order(df, key, seed, len(times), n, only or (lambda rows: rows))
         schema = T.StructType([*df.schema.fields, T.StructField("n_draws", T.LongType())])
@@ -76,6 +75,12 @@ def sample_with_replacement(df: DataFrame, key: str, seed, k: int,
         "slot", "hash_order")
 
 
+def draw_times(seed, k: int, n: int) -> list[int]:
+    """How often each of the drawn rows is drawn, in hash order, when k of n are drawn with replacement."""
+    hits = Counter(int(driver_uniform(seed, "draw", j) * n) for j in range(k))
+    return [hits[p] for p in sorted(hits)]
+
+
 def _first_in_hash_order(df: DataFrame, key: str, seed, k: int, n: int, only) -> list:
     """The k rows of about n that come first in hash order.
 

@@ -81,3 +81,20 @@ def test_repetitions_side_by_side_equal_single_ones(prepared):
     runs = ac.active_clean_runs(prepared, "id", ["a", "b"], "y", [4, 5], **options).collect()
     for row, seed in zip(runs, (4, 5)):
         assert tuple(row) == (seed, *ac.active_clean(prepared, "id", ["a", "b"], "y", seed, **options))
+
+
+def test_one_pass_brings_the_rows_of_the_next_draw(spark, prepared):
+    for key in ("id", "name"):
+        data = prepared.withColumn("name", F.concat(F.lit("row "), F.col("id").cast("string"))).repartition(3)
+        data = data.select(key, "a", "b", "y", "is_dirty")
+        pool = ac._Pool(data, key, ["a", "b"], 0.9, "reference")
+        packed = ac._packed(data, key, ["a", "b"], "y")
+        pool.drop([data.first()[0]])
+        pool.keep(np.array([3.0, 0.5]), -4.0)
+        left, rows = pool.ahead(packed, "s/1", 25)
+        assert left == pool.count()
+        drawn = [(*r, n) for r, n in zip(rows, ac.draw_times("s/1", 25, left))]
+        assert sorted(drawn) == sorted(tuple(r) for r in pool.draw("s/1", 25, left).collect())
+        pool.keep(np.zeros(2), -100.0)
+        assert pool.ahead(packed, "s/2", 25) == (0, [])
+        packed.unpersist()
