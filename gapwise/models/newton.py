@@ -182,6 +182,34 @@ def fit_packed(blocks: Blocks, models: int, features: Sequence[str], l2: float,
                         {"scans": scans, "n": n[f.number]}) for f in fits]
 
 
+def fit_nearby(x: np.ndarray, y: np.ndarray, member: np.ndarray, n: int, start: np.ndarray, l2: float,
+               intercept: bool = True, tries: int = 5) -> list[np.ndarray | None]:
+    """Continue the last stage from ``start`` for each column of ``member``, on rows in memory.
+
+    Each learner has ``n`` rows; those not given are rows without loss where the
+    fit leads.  None where it did not settle.
+    """
+    cells = np.column_stack([x, np.ones(len(y))])
+    size, many = cells.shape[1], member.shape[1]
+    fits = [_Fit(size - 1, l2, intercept, i) for i in range(many)]
+    found: list[np.ndarray | None] = [None] * many
+    for fit in fits:
+        fit.at = fit.trial = start
+    for _ in range(tries):
+        live = [f for f in fits if found[f.number] is None]
+        for fit in live:
+            fit.stage, fit.used, fit.value, fit.trial = len(WIDTHS) - 1, 0, np.inf, fit.at
+        while moving := [f for f in live if not f.done]:
+            points, widths = np.column_stack([f.trial for f in moving]), np.array([f.width for f in moving])
+            out, curves = np.zeros((len(moving), 2 + size)), np.zeros((len(moving), size * size))
+            _add_shared(out, curves, cells, y, member[:, [f.number for f in moving]], points, widths)
+            for fit, sums, curve in zip(moving, out, curves / widths[:, None]):
+                fit.receive(n, sums[1], sums[2:], curve.reshape(size, size))
+                if fit.done and fit.used < STAGE_STEPS:
+                    found[fit.number] = fit.at
+    return found
+
+
 def fit_many(df: DataFrame, members: Sequence[Column], features: Sequence[str], label: str,
              l2: float, intercept: bool = True) -> list[LinearModel]:
     """Fit a learner for each of ``members``, the predicates that say which rows train it.

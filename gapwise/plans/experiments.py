@@ -20,11 +20,13 @@ from gapwise.operators import impute, knn, metrics
 from gapwise.operators.profile import incomplete_columns
 from gapwise.operators.sample import pick_column
 from gapwise.operators.select_rank import hash_cutoffs, share_of
+from gapwise.plans.seed_screen import SeedScreen
 from gapwise.sources.generators import regression_table
 
 # Fixed value: candidate seeds are drawn from [1, SEED_LIMIT).
 SEED_LIMIT = 10_000
 MAX_ATTEMPTS = 10_000
+LOOK_AHEAD = 1024  # seeds screened in one pass
 
 
 def candidate_seed(run, attempt: int) -> int:
@@ -65,23 +67,36 @@ def search_seed(df: DataFrame, key: str, features: Sequence[str], label: str, ra
     """First corruption seed with (or without) a certain model.
 
     One row: found, seed, n_failures, n_checked, accuracy on the complete test
-    rows.  Seeds are checked a chunk at a time, so the search stops early.
+    rows.  Seeds are checked a chunk at a time, so the search stops early.  A
+    seed drawn again has the verdict it had.  Where the first chunk has no
+    certain model, seeds that surely have none are found in passes of growing
+    size, and only the others are trained on the whole table.
     """
     rows = df.select(key, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
-    attempt, hit = 0, None
+    first: dict[int, int] = {}
+    for attempt in range(max_attempts):
+        first.setdefault(candidate_seed(run, attempt), attempt)
+    order, at, ahead, hit, screen = list(first), 0, chunk, None, None
     try:
-        while attempt < max_attempts and hit is None:
-            size = min(chunk, max_attempts - attempt)
-            seeds = [candidate_seed(run, attempt + j) for j in range(size)]
-            results = check_corruptions(rows, key, features, label, rate, seeds, l2)
-            for j, result in enumerate(results):
-                if result["is_certain"] == want_certain:
-                    hit, attempt = result, attempt + j
+        while at < len(order) and hit is None:
+            seeds, at, seen = order[at:at + ahead], at + ahead, []
+            if screen is not None:
+                out = screen.ruled_out(seeds)
+                seeds = [s for s in seeds if s not in out]
+            for i in range(0, len(seeds), chunk):
+                results = check_corruptions(rows, key, features, label, rate, seeds[i:i + chunk], l2)
+                hit = next((r for r in results if r["is_certain"] == want_certain), None)
+                if hit is not None:
                     break
-            else:
-                attempt += size
+                seen += [r["model"] for r in results]
+            if want_certain and hit is None and at < len(order):
+                screen = screen or SeedScreen(rows, key, features, label, rate, l2, WEIGHT_TOLERANCE, seen)
+                ahead = min(max(8 * chunk, 4 * ahead), LOOK_AHEAD)
     finally:
         rows.unpersist()
+        if screen is not None:
+            screen.close()
+    attempt = first[hit["seed"]] if hit is not None else max_attempts
     score = None
     if hit is not None and test is not None:
         guess = F.when(hit["model"].score() > 0, 1.0).otherwise(-1.0)
