@@ -16,15 +16,20 @@ def usable(column: str) -> F.Column:
     return F.coalesce(good & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def pack(df: DataFrame, column: str) -> DataFrame:
-    """Replace an array column of numbers by the bytes of its doubles (-0.0 as 0.0)."""
+def packed_kind(df: DataFrame, column: str) -> str:
+    """The narrowest kind of numbers that holds all of an array column: floats of 4 or 8 bytes."""
+    return "<f4" if dict(df.dtypes)[column] == "array<float>" else "<f8"
+
+
+def pack(df: DataFrame, column: str, kind: str = "<f8") -> DataFrame:
+    """Replace an array column of numbers by the bytes of its floats (-0.0 as 0.0)."""
     at = df.columns.index(column)
     schema = ", ".join(f"`{n}` {'binary' if n == column else t}" for n, t in df.dtypes)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(at)
-            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(kind) + 0.0
             ends = np.cumsum([0] + (lists.value_lengths().to_pylist()))
             packed = [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
             columns = [pa.array(packed, pa.binary()) if i == at else batch.column(i)
@@ -33,10 +38,10 @@ def pack(df: DataFrame, column: str) -> DataFrame:
     return df.mapInArrow(convert, schema)
 
 
-def matrix(packed) -> np.ndarray:
-    """A row for each packed vector, all of one length."""
+def matrix(packed, kind: str = "<f8") -> np.ndarray:
+    """A row of doubles for each packed vector, all of one length."""
     packed = list(packed)
-    return np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), -1)
+    return np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(np.float64, copy=False)
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:

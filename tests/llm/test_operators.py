@@ -178,6 +178,68 @@ def test_links_along_one_direction_cross_borders(spark, monkeypatch):
     assert got == dict(enumerate(((x @ x.T >= 0.98).sum(1) - 1).tolist()))
 
 
+def test_random_vectors_visit_few_cells_and_no_link_is_lost():
+    rng = np.random.default_rng(31)
+    x = rng.standard_normal((1500, 64))
+    x[1000:] = x[:500] + rng.standard_normal((500, 64)) * 0.14
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    books = embedding_dedup.codebook(unit[:, :32], 16), embedding_dedup.codebook(unit[:, 32:], 16)
+    row, cell, moved = embedding_dedup.visits(unit, books, embedding_dedup.reach_of(0.98))
+    assert len(row) < 30 * len(x)
+    met = set()
+    for c in np.unique(cell):
+        here = cell == c
+        r, m = row[here], moved[here]
+        a, b = np.nonzero((m[:, None] & m[None, :]) == 0)
+        met.update(zip(r[a].tolist(), r[b].tolist()))
+    linked = np.argwhere(np.triu(unit @ unit.T >= 0.98, 1)).tolist()
+    assert len(linked) > 100 and all(tuple(p) in met for p in linked)
+
+
+def test_sketches_of_random_vectors_do_not_meet():
+    rng = np.random.default_rng(32)
+    x = rng.standard_normal((6000, 64))
+    x[3000:5500] = x[0] + rng.standard_normal((2500, 64)) * 0.1
+    x[5500:] = x[500:1000] + rng.standard_normal((500, 64)) * 0.12
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    basis = embedding_dedup.directions(unit, embedding_dedup.SKETCH)
+    sketches = embedding_dedup.sketch(unit, basis)
+    wide = int(embedding_dedup.width_of(0.98, basis.shape[1]))
+    ids, moved = np.arange(6000) * 3, np.zeros(6000, np.uint8)
+    low = rng.random(6000) < 0.5
+    linked = np.argwhere(np.triu(unit @ unit.T >= 0.98, 1)) * 3
+    for first, among in ((None, linked), (low, linked[low[linked[:, 0] // 3] != low[linked[:, 1] // 3]])):
+        a, b = embedding_dedup.meetings(ids, moved, sketches, first, wide)
+        assert len(a) < 6000  # a forest, not the pairs
+        least = reach(range(0, 18000, 3), list(zip(a.tolist(), b.tolist())))
+        assert all(least[p] == least[q] for p, q in among.tolist())
+        groups = np.unique(list(least.values()), return_counts=True)[1]
+        assert (groups == 1).sum() > 2300 and (groups > 2).sum() < 20
+
+
+def test_large_cells_and_groups_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL_BLOCK", 30)
+    monkeypatch.setattr(embedding_dedup, "FEW", 10)
+    test_grid_cells_lose_no_link(spark, monkeypatch)
+
+
+def test_narrow_vectors_and_ids_far_apart(spark):
+    x = np.random.default_rng(33).standard_normal((60, 20)).astype(np.float32)
+    x[40:] = x[:20]
+    x[50:] += np.float32(0.01)
+    ids = (np.arange(60) * 3 * 10 ** 17 - 9 * 10 ** 18).tolist()
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in zip(ids, x)], "vec_id long, embedding array<float>, label string")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == {i: (int(k < 20 or k >= 40), ids[k - 40] if k >= 40 else i) for k, i in enumerate(ids)}
+
+
+def test_vectors_that_share_an_id_meet(spark):
+    rows = [(5, [1.0, 0.0, 0.0], 1), (5, [1.0, 0.01, 0.0], 1), (7, [0.0, 0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in embedding_dedup.near_vectors(df).collect())
+    assert got == [(5, 2, 5, True), (5, 2, 5, True), (7, 0, 7, True)]
+
+
 def test_nearest_equals_full_scan(spark, monkeypatch):
     monkeypatch.setattr(ann_search, "BLOCK", 64)
     rng = np.random.default_rng(6)
