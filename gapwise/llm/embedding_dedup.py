@@ -7,9 +7,10 @@ its own as any two linked vectors can need to meet.  What visits is a sketch,
 some bytes of the coordinates along the directions that spread the vectors most:
 sketches of linked vectors are never far apart, those of most others are.  The
 vectors that meet near each other form groups, and every link lies inside one
-group.  Whole vectors go to their groups alone, which are cut into blocks of
-bounded size and the pairs of blocks verified by matrix products; what leaves a
-task is a sum of links and a spanning forest, never the pairs.
+group.  Whole vectors go to their groups alone, the largest of which are dealt to
+the bins of a grid; groups and bins are cut into blocks of bounded size and the
+pairs of blocks verified by matrix products.  What leaves a task is a sum of
+links and a spanning forest, never the pairs.
 
 Equal vectors are collapsed first and carried as a weight.
 """
@@ -19,11 +20,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from gapwise.llm.graph import components, roots_of
@@ -225,31 +227,33 @@ def joined(linked: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows, columns
 
 
-def link_block(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, low: np.ndarray | None,
+def counted(linked: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sum of the weights of the columns that each row links with."""
+    return np.count_nonzero(linked, axis=1) if (weight == 1).all() else linked @ weight
+
+
+def link_block(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, one: np.ndarray, other: np.ndarray | None,
                cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links among all vectors, or with ``low`` between those it marks and the others:
+    """Links among the rows ``one``, or with ``other`` between the two lists of rows:
     (a, links) sums and (a, b) forest edges."""
-    n = len(ids)
-    one = np.arange(n) if low is None else np.flatnonzero(low)
-    other = one if low is None else np.flatnonzero(~low)
-    linked, step = np.empty((len(one), len(other)), bool), max(1, 4 * SLAB // max(1, len(other)))
+    alike = other is None
+    other = one if alike else other
+    linked, step = np.empty((len(one), len(other)), bool), max(1, SLAB // max(1, len(other)))
     for start in range(0, len(one), step):
         linked[start:start + step] = x[one[start:start + step]] @ x[other].T >= cosine
-    if low is None:  # the lesser of the two rows decides for both
+    if alike:  # the product of the lesser row with the greater decides for both
         linked = np.triu(linked, 1)
         linked |= linked.T
-    sums = np.zeros(n, np.int64)
+    back = linked if alike else np.ascontiguousarray(linked.T)
+    sums, tree = np.zeros(len(ids), np.int64), np.full(len(ids), -1)
     for start in range(0, len(one), step):
-        part = linked[start:start + step]
-        sums[one[start:start + step]] += part @ weight[other]
-        if low is not None:
-            sums[other] += weight[one[start:start + step]] @ part
-    if low is None:
+        sums[one[start:start + step]] = counted(linked[start:start + step], weight[other])
+    if alike:
         np.fill_diagonal(linked, linked.any(1))
-        back = linked
     else:
-        back = np.ascontiguousarray(linked.T)
-    tree = np.full(n, -1)
+        step = max(1, SLAB // max(1, len(one)))
+        for start in range(0, len(other), step):
+            sums[other[start:start + step]] = counted(back[start:start + step], weight[one])
     rows, columns = joined(linked, back)
     tree[other], tree[one] = columns, rows
     some = np.flatnonzero(tree >= 0)
@@ -259,10 +263,25 @@ def link_block(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, low: np.ndarr
     return ids[some], sums[some], ids[child], least[tree[child]]
 
 
+def bins_near(z: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bin) of the bins of a regular grid that each row visits, its own first.
+
+    Of two rows within the distance and in different bins, the one whose bin
+    comes first visits the other's.
+    """
+    side = 2 * max(distance, 0.01)
+    home = np.floor(z / side).astype(np.int64)
+    above = z - home * side
+    steps = np.array([s for s in product((-1, 0, 1), repeat=z.shape[1]) if s >= (0,) * z.shape[1]])
+    gap = np.where(steps[None] > 0, side - above[:, None], np.where(steps[None] < 0, above[:, None], 0))
+    row, step = np.nonzero((gap ** 2).sum(2) <= (distance + 1e-6) ** 2)
+    return row, (home[row] + steps[step] + 128) @ (256 ** np.arange(z.shape[1])[::-1])
+
+
 def verify(key: tuple, table: pa.Table, kind: str, cosine: float) -> pa.Table:
-    """Links of all groups in a table, or between the two blocks that the key names."""
-    low, high = key[1].as_py(), key[2].as_py()
-    of = {n: table.column(n).to_numpy() for n in ("kind", "kind2", "component", "rep", "weight", "block")}
+    """Links of all groups in a table, or between the two blocks that the key names; never of two visitors."""
+    low, high = key[2].as_py(), key[3].as_py()
+    of = {n: table.column(n).to_numpy() for n in ("kind", "kind2", "component", "rep", "weight", "block", "step")}
     order = np.lexsort((of["rep"], of["component"], of["kind2"], of["kind"]))
     of = {n: c[order] for n, c in of.items()}
     x = unit_rows(matrix(table.column("v").to_pylist(), kind))[order]
@@ -273,9 +292,13 @@ def verify(key: tuple, table: pa.Table, kind: str, cosine: float) -> pa.Table:
     found = []
     for start, end in zip(ends[:-1], ends[1:]):
         run = slice(start, end)
-        first = None if low == high else of["block"][run] == low
-        if end - start > 1 and (first is None or 0 < first.sum() < end - start):
-            found.append(link_block(x[run], of["rep"][run], of["weight"][run], first, cosine))
+        home, first = of["step"][run] == 0, of["block"][run] == low
+        sides = ([(home, None), (home, ~home)] if low == high else
+                 [(first & home, ~first), (first & ~home, ~first & home)])
+        for one, other in sides:
+            one, other = np.flatnonzero(one), None if other is None else np.flatnonzero(other)
+            if len(one) > (other is None) and (other is None or len(other)):
+                found.append(link_block(x[run], of["rep"][run], of["weight"][run], one, other, cosine))
     del x
     give_back()
     a, links, child, root = ([np.concatenate([f[i] for f in found]) for i in range(4)] if found
@@ -307,12 +330,14 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                                             F.first("v").alias("v")), "nodes")
     keys = keep(packed.select("id", *group), "keys")
     forget(df.sparkSession, packed)
-    per_label = nodes.groupBy("dims", "label").agg(F.count("*").alias("n"))
-    sizes = {r[0]: (r[1], r[2]) for r in per_label.groupBy("dims").agg(
-        F.sum("n"), F.sum(F.col("n") * F.col("n")) / F.sum("n")).collect()}
+    per_label = nodes.groupBy("dims", "label").agg(
+        F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most"))
+    sizes = per_label.groupBy("dims").agg(
+        F.sum("n").alias("count"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("usual"),
+        F.min("least").alias("least"), F.max("most").alias("most")).orderBy("dims").collect()
     found = None
-    for dims, (count, usual) in sorted(sizes.items()):
-        own = _links(nodes.where(F.col("dims") == dims), dims, count, usual, cosine, kind)
+    for size in sizes:
+        own = _links(nodes.where(F.col("dims") == size["dims"]), size, cosine, kind)
         found = own if found is None else found.unionByName(own)
     alone = rows.select("id").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if found is not None:
@@ -330,32 +355,62 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     return alone.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(nodes: DataFrame, dims: int, count: int, usual: float, cosine: float, kind: str) -> DataFrame:
+def _links(nodes: DataFrame, size: Row, cosine: float, kind: str) -> DataFrame:
     """(a, b, links) of all vectors of one length; see :func:`link_block`."""
     nodes = nodes.select("rep", "weight", "v", F.xxhash64("label").alias("kind"),
                          F.xxhash64(F.lit(1), "label").alias("kind2"))
-    groups = keep(_groups(nodes, dims, count, usual, cosine, kind), "groups")
+    groups, basis = _groups(nodes, size, cosine, kind)
+    groups = keep(groups, "groups")
     members = keep(nodes.join(F.broadcast(groups) if groups.count() <= FEW else groups,
                               nodes["rep"] == groups["node"]).drop("node"), "members")
-    large = members.groupBy("kind", "kind2", "component").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 4)
-    large = large.select("kind", "kind2", "component", F.greatest(
-        F.ceil(F.col("n") / BLOCK), F.least(F.lit(8), F.ceil(F.col("n") / (BLOCK // 4)))).cast("int").alias("blocks"))
-    cut = members.join(F.broadcast(large), ["kind", "kind2", "component"], "left").withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    buckets = max(64, math.ceil(count / 4096))
-    small = cut.where("blocks is null").withColumns({
-        "part": F.pmod(F.xxhash64("component"), F.lit(buckets)), "low": F.lit(-1), "high": F.lit(-1)})
-    paired = cut.where("blocks is not null").withColumn(
-        "with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({
-            "part": F.col("component"), "low": F.least("block", "with"), "high": F.greatest("block", "with")})
-    columns = ["part", "low", "high", "kind", "kind2", "component", "rep", "weight", "block", "v"]
-    return small.select(*columns).unionByName(paired.select(*columns)).groupBy("part", "low", "high").applyInArrow(
+    group = ["kind", "kind2", "component"]
+    large = members.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 4)
+    sized = members.join(F.broadcast(large), group, "left")
+    buckets = max(64, math.ceil(size["count"] / 4096))
+    small = sized.where("n is null").withColumns({
+        "part": F.pmod(F.xxhash64("component"), F.lit(buckets)), "bin": F.lit(-1), "step": F.lit(0),
+        "blocks": F.lit(1), "block": F.lit(-1), "low": F.lit(-1), "high": F.lit(-1)})
+    middle = sized.where(F.col("n") <= 4 * BLOCK).withColumns({
+        "part": F.col("component"), "bin": F.lit(-1), "step": F.lit(0), "blocks": F.greatest(
+            F.ceil(F.col("n") / BLOCK), F.least(F.lit(8), F.ceil(F.col("n") / (BLOCK // 4)))).cast("int")})
+    cut = middle.drop("n")
+    if large.where(F.col("n") > 4 * BLOCK).count():
+        cut = cut.unionByName(_binned(sized.where(F.col("n") > 4 * BLOCK).drop("n"), group, basis[:, :3], cosine, kind))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("rep", "v"), F.col("blocks")).cast("int"))
+    paired = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({
+        "low": F.least("block", "with"), "high": F.greatest("block", "with")})
+    columns = ["part", "bin", "low", "high", *group, "rep", "weight", "block", "step", "v"]
+    return small.select(*columns).unionByName(paired.select(*columns)).groupBy("part", "bin", "low", "high").applyInArrow(
         lambda key, table: verify(key, table, kind, cosine), "a long, b long, links long")
 
 
-def _groups(nodes: DataFrame, dims: int, count: int, usual: float, cosine: float, kind: str) -> DataFrame:
-    """(node, component) such that all links are inside a component; a vector that surely has none may lack."""
-    codes = max(1, min(MOST_CODES, round(math.sqrt(usual / CELL_VECTORS))))
+def _binned(members: DataFrame, group: list[str], axes: np.ndarray, cosine: float, kind: str) -> DataFrame:
+    """Members of the largest groups in the bins of a grid along ``axes``: once at home, which is step 0,
+    and in the bins before which they may have links."""
+    distance = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, bins = bins_near(unit_rows(matrix(batch.column("v").to_pylist(), kind)) @ axes, distance)
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows)))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bins.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "bins"])
+    schema = ", ".join(f"{n} {t}" for n, t in members.dtypes)
+    located = keep(members.mapInArrow(locate, f"{schema}, bins array<int>"), "located")
+    homes = located.groupBy(*group, F.col("bins")[0].alias("bin")).agg(F.lit(True).alias("lived"))
+    full = located.select(*group, F.explode("bins").alias("bin")).groupBy(*group, "bin").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    spots = keep(homes.join(full, [*group, "bin"]).drop("lived"), "spots")
+    entries = located.select(*members.columns, F.posexplode("bins").alias("step", "bin"))
+    return entries.join(F.broadcast(spots) if spots.count() <= FEW // 8 else spots, [*group, "bin"]).withColumn(
+        "part", F.col("component"))
+
+
+def _groups(nodes: DataFrame, size: Row, cosine: float, kind: str) -> tuple[DataFrame, np.ndarray]:
+    """(node, component) such that all links are inside a component, where a vector that surely has none
+    may lack; and directions along which the vectors spread."""
+    dims, count, least = size["dims"], size["count"], size["least"]
+    codes = max(1, min(MOST_CODES, round(math.sqrt(size["usual"] / CELL_VECTORS))))
     part = min(1.0, SAMPLE / count)
     picked = nodes.where(F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(1 << 20)) < math.ceil(part * (1 << 20)))
     drawn = sorted((bytes(r[1]), r[0]) for r in picked.select("kind", "v").limit(2 * SAMPLE).collect())
@@ -364,8 +419,8 @@ def _groups(nodes: DataFrame, dims: int, count: int, usual: float, cosine: float
     books = codebook(sample[:, :half], codes), codebook(sample[:, half:], codes)
     basis = directions(sample, SKETCH)
     reach, wide = reach_of(cosine), math.floor(width_of(cosine, basis.shape[1]))
-    least, most = nodes.agg(F.min("rep"), F.max("rep")).first()
-    entry = np.dtype([("rep", "<u4" if most - least < 1 << 32 else "<u8"), ("moved", "u1"), ("x", "i1", basis.shape[1:])])
+    number = "<u4" if size["most"] - least < 1 << 32 else "<u8"
+    entry = np.dtype([("rep", number), ("moved", "u1"), ("x", "i1", basis.shape[1:])])
     rows_at_once = max(1, min(8192, (1 << 22) // max(dims, len(books[0][0]) * len(books[1][0]))))
     full: Counter = Counter()  # how many of the sample visit a cell, which tells the large ones
     for start in range(0, len(drawn), rows_at_once):
@@ -375,7 +430,7 @@ def _groups(nodes: DataFrame, dims: int, count: int, usual: float, cosine: float
              if n * count > len(drawn) * CELL_BLOCK}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, entered = [], 0
         for batch in batches:
             for start in range(0, batch.num_rows, rows_at_once):
                 piece = batch.slice(start, rows_at_once)
@@ -385,11 +440,11 @@ def _groups(nodes: DataFrame, dims: int, count: int, usual: float, cosine: float
                 entries["rep"], entries["moved"] = (piece.column(1).to_numpy() - least)[row], moved
                 entries["x"] = sketch(unit, basis)[row]
                 held.append((piece.column(0).to_numpy()[row], cell, entries))
-                size += len(row)
-                if size >= SLAB // 2:
+                entered += len(row)
+                if entered >= SLAB // 2:
                     yield bundles(*(np.concatenate(c) for c in zip(*held)), large)
-                    held, size = [], 0
-        if size:
+                    held, entered = [], 0
+        if entered:
             yield bundles(*(np.concatenate(c) for c in zip(*held)), large)
         del held
         give_back()
@@ -406,4 +461,4 @@ def _groups(nodes: DataFrame, dims: int, count: int, usual: float, cosine: float
     groups = components(met)
     # different vectors under one id, which may meet nobody else
     twins = met.where("a = b").select(F.col("a").alias("node")).distinct().join(groups, "node", "left_anti")
-    return groups.unionByName(twins.withColumn("component", F.col("node")))
+    return groups.unionByName(twins.withColumn("component", F.col("node"))), basis

@@ -223,6 +223,24 @@ def test_large_cells_and_groups_are_cut(spark, monkeypatch):
     test_grid_cells_lose_no_link(spark, monkeypatch)
 
 
+def test_near_rows_meet_in_one_bin():
+    z = np.random.default_rng(34).uniform(-1, 1, (700, 3))
+    for axes, distance in ((3, 0.2), (2, 0.05), (1, 0.001), (3, 1.9)):
+        row, bins = embedding_dedup.bins_near(z[:, :axes], distance)
+        home, at = bins[np.unique(row, return_index=True)[1]], {}
+        for r, b in zip(row.tolist(), bins.tolist()):
+            at.setdefault(b, []).append(r)
+        met = [tuple(sorted(p)) for b, here in at.items() for p in itertools.combinations(here, 2) if b in home[list(p)]]
+        assert len(met) == len(set(met))
+        apart = np.sqrt(((z[:, None, :axes] - z[None, :, :axes]) ** 2).sum(2))
+        assert set(map(tuple, np.argwhere(np.triu(apart <= distance, 1)).tolist())) <= set(met)
+
+
+def test_chains_are_verified_by_bins(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    test_links_along_one_direction_cross_borders(spark, monkeypatch)
+
+
 def test_narrow_vectors_and_ids_far_apart(spark):
     x = np.random.default_rng(33).standard_normal((60, 20)).astype(np.float32)
     x[40:] = x[:20]
@@ -233,6 +251,13 @@ def test_narrow_vectors_and_ids_far_apart(spark):
     assert got == {i: (int(k < 20 or k >= 40), ids[k - 40] if k >= 40 else i) for k, i in enumerate(ids)}
 
 
+def test_a_crowd_under_one_id_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    x = np.random.default_rng(35).standard_normal((50, 8)) * 0.01 + 1
+    df = spark.createDataFrame([(5, v.tolist(), 1) for v in x], "vec_id long, embedding array<double>, label int")
+    assert {tuple(r) for r in embedding_dedup.near_vectors(df).collect()} == {(5, 50 * 49, 5, True)}
+
+
 def test_vectors_that_share_an_id_meet(spark):
     rows = [(5, [1.0, 0.0, 0.0], 1), (5, [1.0, 0.01, 0.0], 1), (7, [0.0, 0.0, 1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
